@@ -30,7 +30,7 @@ _ASSIGN = rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?"""
 #: kind: (what every match begins with, for the automaton, whole form, least length of the last group)
 RULES: dict[str, tuple[str, str, int]] = {
     "assign": (_ASSIGN + "[A-Za-z0-9+/_.=-]", _ASSIGN + "([A-Za-z0-9+/_.=-]+)", 6),
-    "access": ("AKIA[A-Z0-9]{16}", "(AKIA[A-Z0-9]+)", 20),
+    "access": ("AKIA[A-Z0-9]", "(AKIA[A-Z0-9]+)", 20),
     "hex": ("[0-9a-f]{24}", "([0-9a-f]+)", 24),
     "github": ("gh[opsu]_[A-Za-z0-9]", "(gh[opsu]_[A-Za-z0-9]+)", 34),
     "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1),
