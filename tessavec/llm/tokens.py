@@ -191,7 +191,7 @@ class Encoder:
     A text with any other white space at a piece's edge goes to the library whole.
     """
 
-    def __init__(self, path: str, width: int = 2, cache: int = 400_000) -> None:
+    def __init__(self, path: str, width: int = 2, cache: int = 600_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
@@ -210,29 +210,28 @@ class Encoder:
         if not text:
             return b""
         out, missing, slots = [], [], []
-        for number, line in enumerate(text.split("\n")):
-            pieces = line.split(" ")
-            if number:
+        for line in text.split("\n"):
+            if out:
                 out.append(self.newline)
-            for lead, cache, part in (("", self.first, pieces[:1]), (" ", self.later, pieces[1:])):
-                got = list(map(cache.early.get, part))
-                if None in got:
-                    for k, ids in enumerate(got):
-                        if ids is None:
-                            p, mark = part[k], b""
+            first, *rest = line.split(" ")
+            for lead, cache, part in (("", self.first, [first]), (" ", self.later, rest)):
+                at = len(out)
+                out += map(cache.early.get, part)
+                if None in out[at:]:
+                    for k, p in enumerate(part, at):
+                        if out[k] is None and (ids := cache.late.get(p)) is not None:
+                            out[k] = ids
+                        elif out[k] is None:
                             if not p or p[0].isspace() or p[-1].isspace():
                                 return self._encode([text])[0]
-                            if p[-1] in _ENDS and p[:-1].isalpha():
-                                p, mark = p[:-1], self.marks[p[-1]]
-                            if (ids := cache.get(p)) is None:
-                                slots.append((len(out) + k, cache, p, mark))
-                                missing.append(lead + p)
+                            if p[-1] in _ENDS and p[:-1].isalpha() and (ids := cache.get(p[:-1])) is not None:
+                                out[k] = cache.put(p, ids + self.marks[p[-1]])
                             else:
-                                got[k] = ids + mark
-                out += got
+                                slots.append((k, cache, p))
+                                missing.append(lead + p)
         if missing:
-            for (k, cache, p, mark), ids in zip(slots, self._encode(missing), strict=True):
-                out[k] = cache.put(p, ids) + mark
+            for (k, cache, p), ids in zip(slots, self._encode(missing), strict=True):
+                out[k] = cache.put(p, ids)
         return b"".join(out)
 
 
