@@ -73,7 +73,7 @@ class Packing:
         self.bits = 0
 
     def open(self, items: list[int]) -> None:
-        free = self.capacity - sum(self.sizes[i] for i in items)
+        free = self.capacity - sum(map(self.sizes.__getitem__, items))
         self.bins.append(list(items))
         self.free.append(free)
         self._note(len(self.bins) - 1, free)
@@ -101,9 +101,14 @@ class Packing:
             self._note(b, free - s)
 
 
-def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, int]:
+def fills(bins: list[list[int]], sizes: list[int]) -> list[int]:
+    size = sizes.__getitem__
+    return [sum(map(size, b)) for b in bins]
+
+
+def fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, int]:
     """Fewer bins first, then fuller ones (sum of squared fills); smaller is better."""
-    return len(bins), -sum(sum(sizes[i] for i in b) ** 2 for b in bins)
+    return len(bins), -sum(x * x for x in fills(bins, sizes))
 
 
 def _largest_first(items, sizes: list[int]) -> list[int]:
@@ -122,8 +127,8 @@ def first_population(sizes: list[int], capacity: int, n: int, rng: np.random.Gen
 
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """Injects well-filled whole bins of ``b`` into ``a``; bins of ``a`` with their items dissolve, and the displaced are best-fitted."""
-    full = sorted(b, key=lambda x: -sum(sizes[i] for i in x))[: max(1, len(b) * 3 // 4)]
-    take = [full[k] for k in np.flatnonzero(rng.random(len(full)) < 0.35)]
+    full = np.argsort(-np.array(fills(b, sizes)), kind="stable")[: max(1, len(b) * 3 // 4)]
+    take = [b[k] for k in full[rng.random(len(full)) < 0.35].tolist()]
     moved = {i for x in take for i in x}
     child, displaced = Packing(sizes, capacity), []
     for x in take:
@@ -139,7 +144,7 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
 
 def mutate(a: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """Dissolves the emptiest bins and a few others, and best-fits their items."""
-    order = sorted(range(len(a)), key=lambda k: sum(sizes[i] for i in a[k]))
+    order = np.argsort(fills(a, sizes), kind="stable").tolist()
     gone = set(order[: 1 + len(a) // 100]) | set(rng.integers(0, len(a), 1 + len(a) // 20).tolist())
     child, loose = Packing(sizes, capacity), []
     for k, x in enumerate(a):
@@ -153,16 +158,16 @@ def mutate(a: list[list[int]], sizes: list[int], capacity: int, rng: np.random.G
 
 def evolve(population: list[list[list[int]]], sizes: list[int], capacity: int, generations: int, rng: np.random.Generator) -> list[list[list[int]]]:
     """Best individual first. Stops as soon as one needs no more bins than the total asks for."""
-    rate = lambda x: fitness(x, sizes, capacity)
-    population = sorted(population, key=rate)
+    rated = lambda bins: (fitness(bins, sizes), bins)
+    population = sorted(map(rated, population))
     least = -(-sum(sizes) // capacity)
     for _ in range(generations):
-        if len(population[0]) <= least:
+        if len(population[0][1]) <= least:
             break
         i, j = sorted(rng.choice(len(population), 2, replace=False).tolist()) if len(population) > 1 else (0, 0)
-        child = crossover(population[i], population[j], sizes, capacity, rng)
-        population = sorted([*population, child, mutate(child, sizes, capacity, rng)], key=rate)[: len(population)]
-    return population
+        child = crossover(population[i][1], population[j][1], sizes, capacity, rng)
+        population = sorted([*population, rated(child), rated(mutate(child, sizes, capacity, rng))])[: len(population)]
+    return [bins for _, bins in population]
 
 
 def _to_bytes(bins: list[list[int]], n: int) -> bytes:

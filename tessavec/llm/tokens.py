@@ -224,14 +224,15 @@ class Encoder:
                         elif out[k] is None:
                             if not p or p[0].isspace() or p[-1].isspace():
                                 return self._encode([text])[0]
-                            if p[-1] in _ENDS and p[:-1].isalpha() and (ids := cache.get(p[:-1])) is not None:
-                                out[k] = cache.put(p, ids + self.marks[p[-1]])
+                            word, mark = (p[:-1], self.marks[p[-1]]) if p[-1] in _ENDS and p[:-1].isalpha() else (p, b"")
+                            if mark and (ids := cache.get(word)) is not None:
+                                out[k] = cache.put(p, ids + mark)
                             else:
-                                slots.append((k, cache, p))
-                                missing.append(lead + p)
+                                slots.append((k, cache, word, mark))
+                                missing.append(lead + word)
         if missing:
-            for (k, cache, p), ids in zip(slots, self._encode(missing), strict=True):
-                out[k] = cache.put(p, ids)
+            for (k, cache, word, mark), ids in zip(slots, self._encode(missing), strict=True):
+                out[k] = cache.put(word, ids) + mark
         return b"".join(out)
 
 
