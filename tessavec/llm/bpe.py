@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._common import partitions, stored
 from .tokens import merge
 
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 12 << 20
 _CHUNKS = "chunk string, bucket int, ids binary, counts binary, body binary"
 
 
@@ -74,7 +74,8 @@ class _Numbers(dict):
 
 
 def _packed(values: np.ndarray) -> bytes:
-    kind = "<u2" if not len(values) or int(values.max()) < 1 << 16 else "<u4"
+    top = int(values.max()) if len(values) else 0
+    kind = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4"
     return kind[-1].encode() + pa.compress(values.astype(kind).tobytes(), codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
 
 
@@ -84,20 +85,36 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[1:-8], decompressed_size=n * width, codec="zstd", asbytes=True), f"<u{width}") if n else np.zeros(0, "<u2")
 
 
-def _chunk_rows(ids: list, texts: list, split, buckets: int):
-    """The chunk's sequence, and for each bucket the chunk's distinct words that belong there."""
-    numbers, seqs = _Numbers(), []
-    for text in texts:
-        seqs.append(np.fromiter(map(numbers.__getitem__, split(text or "")), np.uint32))
-    name = uuid.uuid4().hex
-    known = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([i is not None for i in ids], "u1").tobytes()
-    yield name, -1, known, np.array([len(s) for s in seqs], "<i8").tobytes(), _packed(np.concatenate(seqs))
-    words = [w.encode("utf-8", "replace") for w in numbers]
-    to = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(to, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
-        mine = [words[k] for k in part.tolist()]
-        yield name, int(to[part[0]]), part.astype("<u4").tobytes(), np.array([len(w) for w in mine], "<u4").tobytes(), b"".join(mine)
+class _Chunk:
+    """Documents of a chunk while it is read: their word numbers, and the distinct words in order of appearance."""
+
+    def __init__(self) -> None:
+        self.numbers, self.ids, self.seqs, self.chars = _Numbers(), [], [], 0
+
+    def add(self, doc_id, words: list[str], chars: int) -> None:
+        self.ids.append(doc_id)
+        self.seqs.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
+        self.chars += chars + 16
+
+    def rows(self, buckets: int):
+        """The chunk's sequence, and for each bucket the chunk's distinct words that belong there."""
+        name = uuid.uuid4().hex
+        known = np.array([0 if i is None else i for i in self.ids], "<i8").tobytes() + np.array([i is not None for i in self.ids], "u1").tobytes()
+        yield name, -1, known, np.array([len(s) for s in self.seqs], "<i8").tobytes(), _packed(np.concatenate(self.seqs))
+        words = [w.encode("utf-8", "replace") for w in self.numbers]
+        to = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(to, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+            mine = [words[k] for k in part.tolist()]
+            yield name, int(to[part[0]]), _packed(np.diff(part, prepend=0)), _packed(np.array([len(w) for w in mine])), _squeezed(b"".join(mine))
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+
+
+def _spread(blob: bytes) -> bytes:
+    return pa.decompress(blob[:-8], decompressed_size=int.from_bytes(blob[-8:], "little"), codec="zstd", asbytes=True)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -115,17 +132,17 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = partitions(docs.sparkSession)
 
     def split_up(batches):
-        split, ids, texts, held = regex.compile(pattern).findall, [], [], 0
+        split, chunk = regex.compile(pattern).findall, _Chunk()
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(text)
-                held += len(text or "") + 16
-                if held >= CHUNK_CHARS:
-                    yield _batch(list(_chunk_rows(ids, texts, split, buckets)))
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield _batch(list(_chunk_rows(ids, texts, split, buckets)))
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    chunk.add(i, split(text or ""), len(text or ""))
+                    if chunk.chars >= CHUNK_CHARS:
+                        yield _batch(list(chunk.rows(buckets)))
+                        chunk = _Chunk()
+        if chunk.ids:
+            yield _batch(list(chunk.rows(buckets)))
 
     chunks = stored(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(split_up, _CHUNKS), "words")
 
@@ -133,8 +150,8 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ranks, known, out = _ranks(path), {}, []
         for batch in table.to_batches():
             for chunk, numbers, counts, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "counts", "body")), strict=True):
-                at, flat, sizes = 0, [], []
-                for n in np.frombuffer(counts, "<u4").tolist():
+                at, flat, sizes, body = 0, [], [], _spread(body)
+                for n in _unpacked(counts).tolist():
                     word = body[at : at + n]
                     at += n
                     if (ids := known.get(word)) is None:
@@ -153,7 +170,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if bucket < 0:
                     known, counts, seq = ids, np.frombuffer(sizes, "<i8"), _unpacked(body)
                 else:
-                    parts.append((np.frombuffer(ids, "<u4"), _unpacked(sizes), _unpacked(body)))
+                    parts.append((np.cumsum(_unpacked(ids), dtype=np.int64), _unpacked(sizes), _unpacked(body)))
         n_words = sum(len(p[0]) for p in parts)
         size, at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
         flat, base = np.concatenate([p[2] for p in parts]).astype("<u4") if parts else np.zeros(0, "<u4"), 0

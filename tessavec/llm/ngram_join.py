@@ -11,8 +11,8 @@
    touches plus the verifications, at most postings / l. A pair must share min(l_a, l_b) prefix shingles before
    its whole sets are intersected.
 4. Within a posting list every document is first tested against the list's smallest document, which is linear
-   in the list. Linked documents form components; only pairs in different components are then enumerated, so a
-   large group of near copies never expands into its pairs, and no link between components is lost.
+   in the list. Linked documents form components; only documents of different components are then compared, in
+   tiles, so a large group of near copies never expands into its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -219,24 +219,92 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.when(fits, F.when(enough, common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).otherwise(False)).otherwise(False)).select("a", "b")
 
 
-def link_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the classes that have links. ``sets``: cid, n, l, prefix, shingles; one row a class."""
-    postings = stored(sets.select("cid", "n", "l", F.explode("prefix").alias("cell")), "postings")
-    heads = stored(postings.groupBy("cell").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a <> last").drop("last"), "heads")
-    tried = stored(postings.join(heads, "cell").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), "tried")
-    found = stored(_verify(tried, sets, percent), "links")
-    roots = connected_components(found)
-    rest = postings.join(heads.select("cell"), "cell", "left_semi").join(roots, F.col("cid") == F.col("node"), "left").select("cell", "cid", "n", "l", F.coalesce("root", "cid").alias("root"))
-    rest = stored(rest, "rest")
-    open_cells = stored(rest.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell"), "open")
-    live = stored(rest.join(open_cells, "cell", "left_semi"), "live")
-    x, y = (live.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "l", "root")]) for s in "ab")
-    pairs = x.join(y, "cell").where((F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    pairs = pairs.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("hits"), F.first(F.least("l_a", "l_b")).alias("l")).where("hits >= l").select("a", "b")
-    more = stored(_verify(stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
+def link_sets(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """(node, root) of the classes that have links. ``sets``: cid, n, l, prefix, shingles; one row a class.
+
+    In each round every posting list with several components takes as its head the document with the smallest
+    share of shingles of its own that has not been one yet, mostly the text the others were made from, and tests
+    all documents of other components against it. After ``rounds`` the documents of one component
+    meet those of the others in tiles, but for lists whose places show that they can't overlap enough.
+    """
+    own = F.col("n") - F.size("shingles")
+    facts = ("cell", "place", "cid", "n", "l", "own")  # place: among the shared shingles, in the global order
+    live = stored(sets.select("cid", "n", "l", own.alias("own"), F.posexplode("prefix").alias("place", "cell")).select(*facts, F.col("cid").alias("root")), "postings")
+    tried = found = used = roots = None
+    for k in range(rounds):
+        open_cells = stored(live.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell"), "open")
+        live = stored(live.join(open_cells, "cell", "left_semi"), "live")
+        fresh = live if used is None else live.join(used, "cid", "left_anti")
+        heads = stored(fresh.groupBy("cell").agg(F.min_by(F.struct("cid", "root"), F.struct(F.round(1000 * F.col("own") / F.col("n")).alias("share"), "cid")).alias("h")).select("cell", F.col("h.cid").alias("head"), F.col("h.root").alias("head_root")), "heads")
+        pairs = live.join(heads, "cell").where(F.col("root") != F.col("head_root")).select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        more = stored(_verify(pairs, sets, percent), "links")
+        tried, found = (pairs, more) if tried is None else (tried.unionByName(pairs), found.unionByName(more))
+        heads = heads.select(F.col("head").alias("cid")).distinct()
+        used = stored(heads if used is None else used.unionByName(heads).distinct(), "used")
+        if k and more.isEmpty():
+            break
+        roots = connected_components(found)
+        live = stored(live.select(*facts).join(roots, F.col("cid") == F.col("node"), "left").select(*facts, F.coalesce("root", "cid").alias("root")), "live")
+    open_cells = stored(live.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell"), "open")
+    live = stored(live.join(open_cells, "cell", "left_semi"), "live")
+    more = stored(_attach(live, sets, percent), "links")
     return roots if more.isEmpty() else connected_components(found.unionByName(more))
 
 
+def _attach(live: DataFrame, sets: DataFrame, percent: int, tile: int = 256, block: int = 1024) -> DataFrame:
+    """Links (a, b) between components that share posting lists; one for a document and a tile of the other component.
+
+    The documents of the smaller component go to the larger one, whose documents are dealt into tiles of about
+    ``tile``; about ``block`` documents meet a tile at once. So a group of near copies is met as tiles, not as pairs.
+    """
+    members = live.select("cid", "root").distinct()
+    sizes = stored(members.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    left = F.col("n") - F.col("own") - F.col("place")  # shared shingles from this one on
+    lists = live.groupBy("cell", "root").agg(F.max("place").alias("most_before"), F.max(left).alias("most_left"), F.min("n").alias("least_n"))
+    lists = stored(lists.join(sizes, "root").select("cell", F.col("root").alias("other"), F.col("size").alias("other_size"), "most_before", "most_left", "least_n"), "lists")
+    can_share = F.least("place", "most_before") + F.least(left, F.col("most_left"))
+    order = lambda size, root: F.struct(F.col(size).alias("x"), F.col(root).alias("y"))
+    asks = live.join(sizes, "root").join(lists, "cell").where((order("size", "root") < order("other_size", "other")) & (can_share * (100 + percent) >= (F.col("n") + F.col("least_n")) * percent))
+    asks = stored(asks.select("cid", F.col("other").alias("root")).distinct(), "asks")
+    plan = asks.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(sizes, "root")
+    plan = stored(plan.select("root", "blocks", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "plan")
+    deal = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = members.join(plan, "root").select("root", deal("tiles").alias("tile"), every("blocks").alias("block"), "cid", F.lit(True).alias("member"))
+    asking = asks.join(plan, "root").select("root", every("tiles").alias("tile"), deal("blocks").alias("block"), "cid", F.lit(False).alias("member"))
+    rows = own.unionByName(asking).join(sets.select("cid", "n", "shingles"), "cid")
+    return rows.groupBy("root", "tile", "block").applyInArrow(_compare_tile(percent), "a long, b long")
+
+
+def _compare_tile(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        cid, n = table.column("cid").to_numpy(), table.column("n").to_numpy()
+        member = table.column("member").to_numpy(zero_copy_only=False)
+        sets = [x.values.to_numpy() for x in table.column("shingles")]
+        mine, asking = np.flatnonzero(member), np.flatnonzero(~member)
+        mine = mine[np.argsort(cid[mine])]  # the first link found is then the one to the smallest id
+        cells = np.concatenate([sets[k] for k in mine]) if len(mine) else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(mine)), [len(sets[k]) for k in mine])
+        order = np.argsort(cells, kind="stable")
+        of, (values, starts) = of[order], np.unique(cells[order], return_index=True)
+        ends = np.append(starts[1:], len(cells))
+        a, b = [], []
+        for k in asking.tolist():
+            at = np.minimum(np.searchsorted(values, sets[k]), len(values) - 1)
+            at = at[values[at] == sets[k]]
+            common = np.zeros(len(mine), np.int64)
+            for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True):
+                common[of[s:e]] += 1
+            hit = np.flatnonzero(100 * common >= percent * (n[mine] + n[k] - common))
+            if len(hit):
+                a.append(cid[k])
+                b.append(cid[mine[hit[0]]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """id, n_shingles, component_id of every row: the smallest id reachable by links of that similarity, itself included.
 
