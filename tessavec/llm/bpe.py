@@ -4,7 +4,8 @@
    positions), and sends each of its distinct words once to the word's bucket: words are pre-aggregated before
    they shuffle, so a word that fills a third of the corpus is one entry a chunk.
 2. Each bucket encodes its distinct words once and sends the identifiers back to the chunks that asked.
-3. The chunk puts the identifiers in the places of its sequence.
+3. The chunk puts the identifiers in the places of its sequence. Step 1 wrote the sequences as a table bucketed
+   by chunk, so only the answers shuffle here.
 Chunk names are random, so what step 1 wrote is kept in the shared store and never computed twice.
 """
 
@@ -22,10 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, stored
+from ._common import partitions, stored_by
 from .tokens import merge
 
-CHUNK_CHARS = 12 << 20
+CHUNK_CHARS = 8 << 20
+_ZSTD = pa.Codec("zstd", compression_level=3)
 _CHUNKS = "chunk string, bucket int, ids binary, counts binary, body binary"
 
 
@@ -73,16 +75,31 @@ class _Numbers(dict):
         return n
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return _ZSTD.compress(raw, asbytes=True) + len(raw).to_bytes(8, "little")
+
+
+def _spread(blob: bytes) -> bytes:
+    return _ZSTD.decompress(blob[:-8], int.from_bytes(blob[-8:], "little"), asbytes=True)
+
+
 def _packed(values: np.ndarray) -> bytes:
+    """Non-negative numbers under 2**32 as byte planes, each compressed alone."""
     top = int(values.max()) if len(values) else 0
-    kind = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4"
-    return kind[-1].encode() + pa.compress(values.astype(kind).tobytes(), codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
+    planes = values.astype("<u4").view("u1").reshape(-1, 4).T
+    return b"".join(len(z).to_bytes(4, "little") + z for z in (_squeezed(planes[k].tobytes()) for k in range(max(1, (top.bit_length() + 7) // 8))))
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    width = int(blob[:1])
-    n = int.from_bytes(blob[-8:], "little")
-    return np.frombuffer(pa.decompress(blob[1:-8], decompressed_size=n * width, codec="zstd", asbytes=True), f"<u{width}") if n else np.zeros(0, "<u2")
+    planes, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        planes.append(np.frombuffer(_spread(blob[at + 4 : at + 4 + n]), "u1"))
+        at += 4 + n
+    out = planes[0].astype("<u4")
+    for k, p in enumerate(planes[1:], 1):
+        out |= p.astype("<u4") << np.uint32(8 * k)
+    return out
 
 
 class _Chunk:
@@ -100,8 +117,12 @@ class _Chunk:
         """The chunk's sequence, and for each bucket the chunk's distinct words that belong there."""
         name = uuid.uuid4().hex
         known = np.array([0 if i is None else i for i in self.ids], "<i8").tobytes() + np.array([i is not None for i in self.ids], "u1").tobytes()
-        yield name, -1, known, np.array([len(s) for s in self.seqs], "<i8").tobytes(), _packed(np.concatenate(self.seqs))
-        words = [w.encode("utf-8", "replace") for w in self.numbers]
+        words, seq = [w.encode("utf-8", "replace") for w in self.numbers], np.concatenate(self.seqs)
+        often = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(words), np.uint32)
+        rank[often] = np.arange(len(words), dtype=np.uint32)
+        words = [words[k] for k in often.tolist()]
+        yield name, -1, known, np.array([len(s) for s in self.seqs], "<i8").tobytes(), _packed(rank[seq])
         to = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(to, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
@@ -109,14 +130,6 @@ class _Chunk:
             yield name, int(to[part[0]]), _packed(np.diff(part, prepend=0)), _packed(np.array([len(w) for w in mine])), _squeezed(b"".join(mine))
 
 
-def _squeezed(raw: bytes) -> bytes:
-    return pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
-
-
-def _spread(blob: bytes) -> bytes:
-    return pa.decompress(blob[:-8], decompressed_size=int.from_bytes(blob[-8:], "little"), codec="zstd", asbytes=True)
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "bucket", "ids", "counts", "body"])
@@ -144,7 +157,8 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if chunk.ids:
             yield _batch(list(chunk.rows(buckets)))
 
-    chunks = stored(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(split_up, _CHUNKS), "words")
+    chunks = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(split_up, _CHUNKS)
+    chunks = stored_by(chunks, "chunk", buckets, "words")
 
     def encode_bucket(table: pa.Table) -> pa.Table:
         ranks, known, out = _ranks(path), {}, []
@@ -163,14 +177,9 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     answers = chunks.where("bucket >= 0").groupBy("bucket").applyInArrow(encode_bucket, _CHUNKS)
 
-    def reassemble(table: pa.Table) -> pa.Table:
-        parts, known, counts, seq = [], b"", b"", None
-        for batch in table.to_batches():
-            for bucket, ids, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "ids", "counts", "body")), strict=True):
-                if bucket < 0:
-                    known, counts, seq = ids, np.frombuffer(sizes, "<i8"), _unpacked(body)
-                else:
-                    parts.append((np.cumsum(_unpacked(ids), dtype=np.int64), _unpacked(sizes), _unpacked(body)))
+    def reassemble(own: pa.Table, told: pa.Table) -> pa.Table:
+        known, counts, seq = own.column("ids")[0].as_py(), np.frombuffer(own.column("counts")[0].as_py(), "<i8"), _unpacked(own.column("body")[0].as_py())
+        parts = [(np.cumsum(_unpacked(i), dtype=np.int64), _unpacked(n), _unpacked(x)) for i, n, x in zip(*(told.column(c).to_pylist() for c in ("ids", "counts", "body")), strict=True)]
         n_words = sum(len(p[0]) for p in parts)
         size, at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
         flat, base = np.concatenate([p[2] for p in parts]).astype("<u4") if parts else np.zeros(0, "<u4"), 0
@@ -190,7 +199,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(flat[places].tobytes())
         return pa.table({id_col: pa.array([i if t else None for i, t in zip(ids, there, strict=True)], pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    return chunks.where("bucket < 0").unionByName(answers).groupBy("chunk").applyInArrow(reassemble, f"`{id_col}` long, ids binary")
+    return chunks.where("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(reassemble, f"`{id_col}` long, ids binary")
 
 
 def bpe_decode(tokens: DataFrame, ids_col: str = "ids", vocabulary: str | None = None, out: str = "decoded") -> DataFrame:
