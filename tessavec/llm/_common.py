@@ -74,6 +74,38 @@ def stored_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def frugal(run, rows: int = 1024):
+    """A function for mapInArrow that sees at most ``rows`` rows at once and gives memory back when its task ends.
+
+    Python workers outlive their tasks, and what their allocators keep counts against the executor.
+    """
+
+    def small(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                yield batch.slice(a, rows)
+
+    def wrapped(batches):
+        try:
+            yield from run(small(batches))
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, stored_by
+from ._common import frugal, partitions, stored_by
 from .tokens import merge
 
 CHUNK_CHARS = 8 << 20
@@ -147,17 +147,15 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def split_up(batches):
         split, chunk = regex.compile(pattern).findall, _Chunk()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    chunk.add(i, split(text or ""), len(text or ""))
-                    if chunk.chars >= CHUNK_CHARS:
-                        yield _batch(list(chunk.rows(buckets)))
-                        chunk = _Chunk()
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                chunk.add(i, split(text or ""), len(text or ""))
+                if chunk.chars >= CHUNK_CHARS:
+                    yield _batch(list(chunk.rows(buckets)))
+                    chunk = _Chunk()
         if chunk.ids:
             yield _batch(list(chunk.rows(buckets)))
 
-    chunks = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(split_up, _CHUNKS)
+    chunks = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(frugal(split_up), _CHUNKS)
     chunks = stored_by(chunks, "chunk", buckets, "words")
 
     def encode_bucket(table: pa.Table) -> pa.Table:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, stored
+from ._common import frugal, partitions, stored
 from .components import connected_components
 from .tokens import Cache
 
@@ -319,15 +319,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets_of, part, number = Shingler(words), TaskContext.get().partitionId(), 0
         ids, sets, held = [], [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                piece = batch.slice(a, 1024)
-                for i, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    ids.append(i)
-                    sets.append(sets_of.hashes(text))
-                    held += len(text or "") + 16
-                    if held >= CHUNK_CHARS or len(ids) >= CHUNK_DOCS:
-                        yield _batch(list(_chunk_rows(f"{part}-{number}", ids, sets, buckets)))
-                        ids, sets, held, number = [], [], 0, number + 1
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                sets.append(sets_of.hashes(text))
+                held += len(text or "") + 16
+                if held >= CHUNK_CHARS or len(ids) >= CHUNK_DOCS:
+                    yield _batch(list(_chunk_rows(f"{part}-{number}", ids, sets, buckets)))
+                    ids, sets, held, number = [], [], 0, number + 1
         if ids:
             yield _batch(list(_chunk_rows(f"{part}-{number}", ids, sets, buckets)))
 
@@ -335,7 +333,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         table = table.select(list(_COLUMNS))
         return table if table.column("bucket")[0].as_py() < 0 else _frequencies(table)
 
-    chunks = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(shingle, _ROWS)
+    chunks = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(frugal(shingle), _ROWS)
     # A chunk's own row travels with its requests, so both come from one run of the task; it has no part in a bucket.
     own = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("chunk"), F.lit(buckets))).otherwise(F.col("bucket"))
     answers = stored(chunks.groupBy(own.cast("int").alias("to")).applyInArrow(answer, _ROWS), "frequencies")

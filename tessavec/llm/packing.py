@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import stored
+from ._common import frugal, stored
 from .tokens import encoder
 
 
@@ -49,17 +49,16 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         encode, uid = encoder(path, width).encode, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part, out = batch.slice(a, 1024), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(encode(text) + tail, f"<u{width}").astype("<u4")
-                    for k, (start, n) in enumerate(cut(len(ids), capacity)):
-                        raw = ids[start : start + n].tobytes()
-                        out.append((uid, doc_id, k, start, n, zlib.crc32(raw), *[raw] * with_ids))
-                        uid += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(encode(text) + tail, f"<u{width}").astype("<u4")
+                for k, (start, n) in enumerate(cut(len(ids), capacity)):
+                    raw = ids[start : start + n].tobytes()
+                    out.append((uid, doc_id, k, start, n, zlib.crc32(raw), *[raw] * with_ids))
+                    uid += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)
 
 
 class Packing:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, partitions
+from ._common import frugal, new_path, partitions
 from .tokens import encoder
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -170,15 +170,13 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             if writer is None:
                 writer = ShardWriter(folder, shard, length, width, per_batch)
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    writer.add(doc_id, encode(text) + tail)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                writer.add(doc_id, encode(text) + tail)
         if writer is not None:
             n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    written = rows.mapInArrow(run, "shard long, n_docs long, n_tokens long").collect()  # one row a shard
+    written = rows.mapInArrow(frugal(run), "shard long, n_docs long, n_tokens long").collect()  # one row a shard
     return TokenFiles(folder, tuple(sorted((r.shard, r.n_docs, r.n_tokens) for r in written)))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import without
+from ._common import frugal, without
 from .tokens import Cache
 
 BITS, START, GRADES = 20, 5, 3
@@ -130,7 +130,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             found = [text_features(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array([np.array(list(c), "<i4").tobytes() for c in found], pa.binary()), pa.array([np.array(list(c.values()), "<i4").tobytes() for c in found], pa.binary())], names=["i", "t", "f", "n"])
 
-    got = sorted(rows.mapInArrow(count, "i long, t int, f binary, n binary").collect(), key=lambda r: (r.i, r.f))
+    got = sorted(rows.mapInArrow(frugal(count), "i long, t int, f binary, n binary").collect(), key=lambda r: (r.i, r.f))
     counts = [dict(zip(np.frombuffer(r.f, "<i4").tolist(), np.frombuffer(r.n, "<i4").tolist(), strict=True)) for r in got]
     return fit(counts, np.array([r.t for r in got], np.int64))
 
@@ -172,7 +172,7 @@ def score_toxicity(docs: DataFrame, model: SeverityModel, text_col: str = "text"
             severity = np.where(empty, 0.0, np.round(model.severity(z), 6))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity), pa.array(model.toxic(z) & ~empty)], names=[*batch.schema.names, "severity", "toxic"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("toxic", T.BooleanType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("toxic", T.BooleanType())]))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
