@@ -66,33 +66,30 @@ def nothing_toxic() -> SeverityModel:
     return SeverityModel(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]))
 
 
-def fit(counts: list[dict[int, int]], toxic: np.ndarray, n_features: int = 128, steps: int = 1500, l2: float = 1e-5) -> SeverityModel:
-    """Fits on feature counts and 0/1 labels; deterministic."""
+def fit(rows: np.ndarray, found: np.ndarray, counts: np.ndarray, toxic: np.ndarray, n_features: int = 128, steps: int = 1500, l2: float = 1e-5) -> SeverityModel:
+    """Fits on (row, feature, count) triples and the 0/1 label of each row; deterministic."""
     n_toxic = int(toxic.sum())
-    if not n_toxic or n_toxic == len(toxic):
+    if not n_toxic or n_toxic == len(toxic) or not len(found):
         return nothing_toxic()
-    with_it, in_toxic = Counter(), Counter()
-    for c, t in zip(counts, toxic.tolist(), strict=True):
-        with_it.update(c.keys())
-        if t:
-            in_toxic.update(c.keys())
-    odds = {f: np.log((in_toxic[f] + 0.1) / (n_toxic + 1)) - np.log((n - in_toxic[f] + 0.1) / (len(toxic) - n_toxic + 1)) for f, n in with_it.items() if n >= 3}
-    rate = n_toxic / len(toxic)
-    strength = {f: abs(in_toxic[f] - with_it[f] * rate) / np.sqrt(with_it[f] * rate + 0.5) for f in odds}
-    chosen = sorted(strength, key=lambda f: (-strength[f], f))[:n_features]
-    place = {f: k for k, f in enumerate(chosen)}
-    markers = {f for f in chosen if odds[f] > 3 and in_toxic[f] >= 3}
-    x = np.zeros((len(counts), len(chosen)), np.float32)
-    hits = np.zeros(len(counts))
-    for r, c in enumerate(counts):
-        for f, n in c.items():
-            if (k := place.get(f)) is not None:
-                x[r, k] = np.log1p(n)
-            if f in markers:
-                hits[r] += n
-    marks = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + (hits[:, None] > marks).sum(axis=1), 0)
-    return _fit_cumulative(x, grade, np.array(chosen, np.int64), steps, l2)
+    names, place = np.unique(found, return_inverse=True)
+    with_it = np.bincount(place)
+    in_toxic = np.bincount(place, toxic[rows].astype(float))
+    odds = np.log((in_toxic + 0.1) / (n_toxic + 1)) - np.log((with_it - in_toxic + 0.1) / (len(toxic) - n_toxic + 1))
+    expected = with_it * (n_toxic / len(toxic))
+    strength = np.where(with_it >= 3, np.abs(in_toxic - expected) / np.sqrt(expected + 0.5), -1.0)
+    chosen = np.lexsort((names, -strength))[:n_features]
+    chosen = chosen[strength[chosen] >= 0]
+    column = np.full(len(names), -1)
+    column[chosen] = np.arange(len(chosen))
+    at = column[place]
+    keep = at >= 0
+    x = np.zeros((len(toxic), len(chosen)), np.float32)
+    x[rows[keep], at[keep]] = np.log1p(counts[keep])
+    marks = ((odds > 3) & (in_toxic >= 3))[place] & keep
+    hits = np.bincount(rows[marks], counts[marks], len(toxic))
+    cuts = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
+    grade = np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
+    return _fit_cumulative(x, grade, names[chosen].astype(np.int64), steps, l2)
 
 
 def _fit_cumulative(x: np.ndarray, grade: np.ndarray, features: np.ndarray, steps: int, l2: float) -> SeverityModel:
@@ -131,8 +128,9 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array([np.array(list(c), "<i4").tobytes() for c in found], pa.binary()), pa.array([np.array(list(c.values()), "<i4").tobytes() for c in found], pa.binary())], names=["i", "t", "f", "n"])
 
     got = sorted(rows.mapInArrow(frugal(count), "i long, t int, f binary, n binary").collect(), key=lambda r: (r.i, r.f))
-    counts = [dict(zip(np.frombuffer(r.f, "<i4").tolist(), np.frombuffer(r.n, "<i4").tolist(), strict=True)) for r in got]
-    return fit(counts, np.array([r.t for r in got], np.int64))
+    join = lambda parts: np.frombuffer(b"".join(parts), "<i4").astype(np.int64)
+    rows_of = np.repeat(np.arange(len(got)), [len(r.f) // 4 for r in got])
+    return fit(rows_of, join(r.f for r in got), join(r.n for r in got), np.array([r.t for r in got], np.int64))
 
 
 class Scorer:
