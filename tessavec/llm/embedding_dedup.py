@@ -174,7 +174,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     near = F.array(*[F.array(*[F.lit(d) for d in (x, y, z)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
     left = about.select(F.col("name").alias("a"), "dim", F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.col("cell").alias("own"), F.explode(near).alias("by")).withColumn("cell", F.zip_with("own", "by", lambda c, d: c + d)).drop("own", "by")
     right = about.select(F.col("name").alias("b"), "dim", "cell", F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    apart = lambda k: F.greatest(F.lit(0.0), F.col("low_a")[k] - F.col("high_b")[k], F.col("low_b")[k] - F.col("high_a")[k])
+    apart = lambda k: F.greatest(F.lit(0.0), F.get("low_a", F.lit(k)) - F.get("high_b", F.lit(k)), F.get("low_b", F.lit(k)) - F.get("high_a", F.lit(k)))
     gap = sum((F.coalesce(apart(k), F.lit(0.0)) * F.coalesce(apart(k), F.lit(0.0)) for k in range(GRID)), F.lit(0.0))
     pairs = stored(left.join(right, ["dim", "cell"]).where((F.col("a") <= F.col("b")) & (gap <= width * width)).select("a", "b"), "pairs")
 

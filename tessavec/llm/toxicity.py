@@ -66,8 +66,8 @@ def nothing_toxic() -> SeverityModel:
     return SeverityModel(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]))
 
 
-def fit(rows: np.ndarray, found: np.ndarray, counts: np.ndarray, toxic: np.ndarray, n_features: int = 128, steps: int = 1500, l2: float = 1e-5) -> SeverityModel:
-    """Fits on (row, feature, count) triples and the 0/1 label of each row; deterministic."""
+def fit(rows: np.ndarray, found: np.ndarray, counts: np.ndarray, toxic: np.ndarray, n_features: int = 128, steps: int = 1500, penalty: float = 0.06) -> SeverityModel:
+    """Fits on (row, feature, count) triples and the 0/1 label of each row; deterministic. ``penalty`` is shared by all rows."""
     n_toxic = int(toxic.sum())
     if not n_toxic or n_toxic == len(toxic) or not len(found):
         return nothing_toxic()
@@ -89,7 +89,7 @@ def fit(rows: np.ndarray, found: np.ndarray, counts: np.ndarray, toxic: np.ndarr
     hits = np.bincount(rows[marks], counts[marks], len(toxic))
     cuts = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
-    return _fit_cumulative(x, grade, names[chosen].astype(np.int64), steps, l2)
+    return _fit_cumulative(x, grade, names[chosen].astype(np.int64), steps, penalty / len(toxic))
 
 
 def _fit_cumulative(x: np.ndarray, grade: np.ndarray, features: np.ndarray, steps: int, l2: float) -> SeverityModel:
