@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ._common import frugal, without
 from .tokens import Cache
 
-BITS, START, GRADES = 20, 5, 3
+BITS, START, GRADES, LIKELY = 20, 5, 3, 0.35
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&-_=+/\\|~`^@"
 
 
@@ -54,7 +54,8 @@ class SeverityModel:
         return _sigmoid(z[:, None] - self.cuts).sum(axis=1)
 
     def toxic(self, z: np.ndarray) -> np.ndarray:
-        return z > self.cuts[0]
+        """Where P(severity > 0) exceeds ``LIKELY``: below even odds, as missed texts weigh more here than lost ones."""
+        return z > self.cuts[0] + np.log(LIKELY / (1 - LIKELY))
 
 
 def _sigmoid(x):
