@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import frugal, partitions, stored_by
+from .charclass import split_as_tiktoken
 from .tokens import merge
 
 CHUNK_CHARS = 8 << 20
@@ -145,7 +146,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = partitions(docs.sparkSession)
 
     def split_up(batches):
-        split, chunk = regex.compile(pattern).findall, _Chunk()
+        split, chunk = functools.partial(split_as_tiktoken, regex.compile(pattern)), _Chunk()
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 chunk.add(i, split(text or ""), len(text or ""))
