@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._common import frugal, without
+from .charclass import has_late
 
 
 class Cache:
@@ -116,18 +117,33 @@ class WordEndCounter:
     def __init__(self, path: str, cache: int = 400_000) -> None:
         self.pairs, special = merges_of(path)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.known, self.words = Cache(cache), Cache(cache // 2)
+        self.path, self.known, self.words = path, Cache(cache), Cache(cache // 2)
 
     def word(self, word: str) -> int:
         n = self.words.get(word)
         if n is None:
             table = byte_symbols()
-            symbols = [table[b] for b in word.encode("utf-8", "replace")]
-            symbols[-1] += "</w>"
-            n = self.words.put(word, merge_count(symbols, self.pairs))
+            n = self.words.put(word, self.symbols([table[b] for b in word.encode("utf-8", "replace")]))
         return n
 
+    def symbols(self, symbols: list[str]) -> int:
+        symbols[-1] += "</w>"
+        return merge_count(symbols, self.pairs)
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def late(self, text: str) -> int:
+        """Of a text with characters that Python's tables lack: the file's own splitting decides what the words are."""
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return sum(self.symbols(list(w)) for w, _ in words)
+
     def plain(self, text: str) -> int:
+        if has_late(text):
+            return self.late(text)
         text = _BLANKS.sub(" ", unicodedata.normalize("NFC", text))
         return sum(map(self.word, WORDS.findall("".join(c.lower() for c in text) if not text.isascii() else text.lower())))
 

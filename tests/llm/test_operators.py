@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import random
 import zlib
@@ -10,16 +11,19 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessavec.llm import bpe, embedding_dedup, exact_dedup, ngram_join, packing, secrets, tokenfile, tokens, toxicity, urlfilter
+from tessavec.llm import bpe, charclass, embedding_dedup, exact_dedup, ngram_join, packing, secrets, tokenfile, tokens, toxicity, urlfilter
 from tessavec.llm.components import connected_components
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
+#: Characters of Unicode versions after 15.1.
+LATE = "Â\U0003d000 a\u1c89\U0003d001's 1\U00011de0 \u0558x \uffff\U00018d80, ة\ua7da."
 SCHEMA = "doc_id long, text string, keep_id string, N_TOKENS int"
 
 
@@ -137,9 +141,23 @@ def test_token_files(docs, empty, spark, tmp_path):
     assert tokenfile.read_tokens(spark, tokenfile.write_tokens(empty, f"{tmp_path}/e")).count() == 0
 
 
-def test_byte_bpe(docs, empty):
+@settings(max_examples=150, deadline=None)
+@example(LATE)
+@given(st.text(max_size=40))
+def test_byte_bpe_splits_as_the_library(text):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    words = charclass.split_as_tiktoken(regex.compile(public_tokenizers.PATTERN), text)
+    assert [i for w in words for i in bpe.encode_word(w.encode(), bpe._ranks(path))] == tiktoken_library().encode_ordinary(text)
+
+
+@functools.cache
+def tiktoken_library():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(docs, empty):
+    library = tiktoken_library()
     got = bpe.bpe_decode(bpe.bpe_encode(docs)).collect()
     want = {i: np.array(library.encode_ordinary(t or ""), "<u4").tobytes() for i, t in enumerate(texts())}
     assert len(got) == docs.count()
@@ -148,6 +166,7 @@ def test_byte_bpe(docs, empty):
 
 
 @settings(max_examples=150, deadline=None)
+@example(LATE)
 @given(st.text(max_size=40))
 def test_tokens_equal_the_library(text):
     assert tokens.WordEndCounter(WORDS).count(text) == len(LIBRARY[WORDS].encode(text, add_special_tokens=False).ids)
