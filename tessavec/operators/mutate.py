@@ -64,9 +64,18 @@ def delete(collection: Collection, ids: DataFrame) -> Collection:
     return collection.with_rows(rows.select(*collection.rows.columns))
 
 
+def _one_each(updates: DataFrame, *columns: str) -> DataFrame:
+    """One row per id: of each column the last value that isn't null by ``batch_ord``; of equals, or without it, the greatest."""
+    by = lambda c: F.when(F.col(c).isNotNull(), F.struct("batch_ord", c) if "batch_ord" in updates.columns else F.struct(c))
+    return updates.groupBy("id").agg(*[F.max_by(c, by(c)).alias(c) for c in columns])
+
+
 def update_metadata(collection: Collection, updates: DataFrame) -> Collection:
-    """New metadata for live rows (id, metadata); ordinals stay, promoted fields follow."""
-    new = updates.select("id", F.col("metadata").alias("__new"))
+    """New metadata for live rows (id, metadata, maybe batch_ord); ordinals stay, promoted fields follow.
+
+    Of several updates of one id the last counts, see ``_one_each``.
+    """
+    new = _one_each(updates, "metadata").select("id", F.col("metadata").alias("__new"))
     rows = collection.rows.join(new, "id", "left")
     rows = rows.withColumn("metadata", F.when(~F.col("deleted") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("metadata"))).drop("__new")
     return collection.with_rows(promote(rows, collection.config).select(*collection.rows.columns))
@@ -76,9 +85,10 @@ def update(collection: Collection, updates: DataFrame) -> Collection:
     """New vectors or metadata for live rows (id, vector, metadata; null: as before).
 
     A row with a new vector is deleted and appended again, with a new ordinal after all others, in the order of
-    the old ones; one with new metadata alone keeps its place. Unknown ids change nothing.
+    the old ones; one with new metadata alone keeps its place. Unknown ids change nothing. Several updates of
+    one id count as one, see ``_one_each``.
     """
-    new = updates.select("id", F.col("vector").alias("__vector"), F.col("metadata").alias("__metadata"))
+    new = _one_each(updates, "vector", "metadata").select("id", F.col("vector").alias("__vector"), F.col("metadata").alias("__metadata"))
     both = collection.rows.join(new, "id", "left")
     moved = ~F.col("deleted") & F.col("__vector").isNotNull()
     touched = ~F.col("deleted") & F.col("__metadata").isNotNull()

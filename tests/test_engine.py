@@ -76,6 +76,14 @@ def test_update_moves_the_row_and_keeps_metadata(spark, small):
     assert sorted(ids(mutate.update(small, new).get_by_id("a"))) == ["a"]
 
 
+def test_repeated_updates_of_one_id_count_as_one(spark, small):
+    new = spark.createDataFrame([("a", None, '{"k": 9}', 1), ("a", [0.0, 5.0], None, 0), ("a", [0.0, 3.0], '{"k": 8}', 0), ("b", None, "{}", 3), ("b", None, None, 4)], BATCH)
+    got = {r.id: (r.ord, r.metadata) for r in mutate.update(small, new).live().collect()}
+    assert got == {"a": (5, '{"k": 9}'), "b": (1, "{}"), "c": (2, "{}"), "d": (3, "null")}
+    got = [(r.id, r.metadata) for r in mutate.update_metadata(small, new.drop("batch_ord")).live().orderBy("ord").collect()]
+    assert got == [("a", '{"k": 9}'), ("b", "{}"), ("c", "{}"), ("d", "null")]
+
+
 def test_delete_everything_then_vacuum_and_sync(spark, small):
     empty = mutate.delete(small, small.rows)
     assert ids(search.exact_topk(empty.live(), [1.0, 0.0])) == [] and empty.counts().first().live_count == 0
