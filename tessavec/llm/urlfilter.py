@@ -2,7 +2,8 @@
 
 Trust starts at hosts whose pages the rules mostly allow and follows links (personalised PageRank); distrust
 starts at hosts whose pages the rules mostly block and runs against the links, as who links there is suspect.
-A host is blocked when its distrust reaches ``threshold`` and exceeds its trust.
+A host is blocked when its distrust reaches ``threshold`` and exceeds its trust; both are known to ``TOLERANCE``,
+and differences within it count as none.
 """
 
 from __future__ import annotations
@@ -12,9 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored, without
+from ._common import new_path, remove, stored, without
 
 OUTPUT = ("host", "path", "rule", "verdict")
+#: What any host may lack of its trust or distrust when the spreading ends.
+TOLERANCE = 1e-9
+#: Rounds of the spreading that one Spark job does.
+_AT_ONCE = 4
 #: Absolute or protocol-relative targets of href attributes; group 1 is the host.
 _TARGET = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -63,28 +68,46 @@ def host_links(pages: DataFrame, host_col: str = "host", html_col: str = "html")
     return links.select("src", _ascii_lower(F.col("dst")).alias("dst")).where("src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust). ``seeds`` has host, trust, distrust; ``links`` has src, dst, weight.
 
     Each round a host passes ``damping`` of its trust on along its links, and of its distrust against them, by
-    the links' shares. The mass left after ``rounds`` is below damping ** rounds of the seeds'.
+    the links' shares. What moves shrinks by ``damping`` a round at least, so all that is still to come to any host
+    is at most damping / (1 - damping) of what moved last; rounds go on until that is within ``tolerance``, or for
+    ``rounds`` if given.
     """
+    if rounds is None and not (0 <= damping < 1 and tolerance > 0):
+        raise ValueError("without a number of rounds, damping must be in [0, 1) and tolerance positive")
     if links.isEmpty():
         return seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
+    spark = seeds.sparkSession
     out = links.groupBy("src").agg(F.sum("weight").alias("total"))
     into = links.groupBy("dst").agg(F.sum("weight").alias("total"))
     forward = links.join(out, "src").select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("weight") / F.col("total")).alias("trust_share"), F.lit(0.0).alias("distrust_share"))
     back = links.join(into, "dst").select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("trust_share"), (F.col("weight") / F.col("total")).alias("distrust_share"))
     edges = stored(forward.unionByName(back), "edges")
     start = stored(seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust")), "seeds")
-    rank = start
-    for _ in range(rounds):
-        passed = edges.join(rank, edges["from"] == rank["host"]).select(F.col("to").alias("host"), (damping * F.col("trust") * F.col("trust_share")).alias("trust"), (damping * F.col("distrust") * F.col("distrust_share")).alias("distrust"))
-        rank = stored(start.unionByName(passed).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "rank")
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", html_col: str = "html", majority: float = 0.5, threshold: float = 0.05, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+    # trust_moved and distrust_moved are the part that has come all the way through every round so far
+    moves = ("trust", "distrust")
+    rank = start.select("host", *moves, *[F.col(c).alias(f"{c}_moved") for c in moves])
+    fresh = start.select("host", *moves, *[F.lit(0.0).alias(f"{c}_moved") for c in moves])
+    done, path = 0, None
+    while rounds is None or done < rounds:
+        now = _AT_ONCE if rounds is None else min(_AT_ONCE, rounds - done)
+        for _ in range(now):
+            passed = edges.join(rank, edges["from"] == rank["host"]).select(F.col("to").alias("host"), *[(damping * F.col(c + part) * F.col(f"{c}_share")).alias(c + part) for part in ("", "_moved") for c in moves])
+            rank = fresh.unionByName(passed).groupBy("host").agg(*[F.sum(c).alias(c) for c in fresh.columns[1:]])
+        done, last, path, schema = done + now, path, new_path(spark, "rank"), rank.schema
+        rank.write.parquet(path)
+        rank = spark.read.schema(schema).parquet(path)
+        if last:
+            remove(spark, last)
+        if rounds is None and max(x or 0.0 for x in rank.agg(*[F.sum(f"{c}_moved") for c in moves]).first()) * damping <= tolerance * (1 - damping):
+            break
+    return rank.select("host", *moves)
+
+
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", html_col: str = "html", majority: float = 0.5, threshold: float = 0.05, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """Adds host, path, rule (or null) and verdict, allow or block; columns so named are replaced.
 
     A host is a trusted (blocked) seed where more than ``majority`` of its pages have an allow (block) rule.
@@ -98,7 +121,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
     hosts = stored(judged.where("host != ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
     seeds = hosts.select("host", (F.col("allowed") > majority).cast("double").alias("trust"), (F.col("blocked") > majority).cast("double").alias("distrust"))
     scores = spread(seeds, stored(host_links(judged, "host", html_col), "links"), damping, rounds)
-    bad = stored(scores.where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit(True).alias("__bad")), "bad")
+    bad = stored(scores.where((F.col("distrust") >= threshold - TOLERANCE) & (F.col("distrust") - F.col("trust") > TOLERANCE)).select("host", F.lit(True).alias("__bad")), "bad")
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.coalesce(F.col("__bad"), F.lit(False)), "block").otherwise("allow"))
     return judged.join(bad, "host", "left").select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))
 
