@@ -1,8 +1,8 @@
 """Secret scans: one pass of a combined deterministic automaton over the bytes of each text.
 
 The automaton accepts where any rule's necessary beginning ends, for all rules at once. Texts without a hit are
-done; in the others the rules that hit are matched exactly, which gives spans in code points. Beginnings stop
-where counting further would multiply the states and tell little.
+done; in the others each hit leads back to where its beginning starts, and the whole rule is matched from there,
+which gives spans in code points. Beginnings stop where counting further would multiply the states and tell little.
 """
 
 from __future__ import annotations
@@ -49,6 +49,53 @@ def _whole() -> list[re.Pattern]:
     return [re.compile(whole) for _, whole, _ in RULES.values()]
 
 
+_NAME_END = re.compile(rf"(?:{_NAMES})\Z")
+
+
+def _assign_start(text: str, at: int) -> int:
+    """Start of the assignment whose value begins at ``at``: neighbouring parts share no character, so there is one."""
+
+    def back(at: int, chars: str) -> int:
+        return at - (text[at - 1] in chars)
+
+    def back_blanks(at: int) -> int:
+        while text[at - 1] == " ":
+            at -= 1
+        return at
+
+    at = back_blanks(back(back_blanks(back(at, "\"'")), ":="))
+    at = back(at, "\"'")
+    return _NAME_END.search(text, max(0, at - 8), at).start()
+
+
+#: Start of a rule's beginning by the place of its last character.
+_START = {
+    "assign": _assign_start,
+    "access": lambda _, at: at - 4,
+    "hex": lambda _, at: at - 23,
+    "github": lambda _, at: at - 4,
+    "pem": lambda text, at: text.rfind("-----BEGIN ", 0, at + 1),
+}
+_BY_NUMBER = [_START[k] for k in RULES]
+
+
+def spans_at(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """As ``exact_spans``, of the ascending hits (code point where a beginning ends, rule bits), with no look elsewhere.
+
+    Every whole match begins with a hit's beginning, and of one rule the beginnings start in the order of their ends.
+    """
+    out, free, whole = [], [0] * len(KINDS), _whole()
+    for at, bits in hits:
+        for k, kind in enumerate(KINDS):
+            # a hit left of free lies in the rule's last match, and so does what starts left of it
+            if bits >> k & 1 and at >= free[k] and (start := _BY_NUMBER[k](text, at)) >= free[k]:
+                m = whole[k].match(text, start)
+                free[k] = m.end()
+                if m.end(1) - m.start(1) >= RULES[kind][2]:
+                    out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
 def exact_spans(text: str, bits: int) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the rules in ``bits``: leftmost, non-overlapping per kind, too short ones dropped."""
     out = []
@@ -64,13 +111,19 @@ def find_spans(texts: list[str | None], dfa: Dfa) -> dict[int, list[tuple[int, i
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw), np.uint8)
     starts = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
-    found: dict[int, int] = {}
-    hits = dfa.scan(data)
-    if hits:
-        docs = np.searchsorted(starts, [p for p, _ in hits], side="right") - 1
-        for d, (_, bits) in zip(docs.tolist(), hits, strict=True):
-            found[d] = found.get(d, 0) | bits
-    return {d: exact_spans(texts[d], bits) for d, bits in found.items()}
+    hits = sorted(dfa.scan(data))
+    if not hits:
+        return {}
+    at, bits = np.array(hits, np.int64).T
+    docs = np.searchsorted(starts, at, side="right") - 1
+    found = {}
+    for of in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(docs)) + 1):
+        d = int(docs[of[0]])
+        places = at[of] - starts[d]
+        if len(raw[d]) > len(texts[d]):  # code points before a byte: bytes that don't continue one
+            places = np.cumsum(np.frombuffer(raw[d], np.uint8) & 0xC0 != 0x80, dtype=np.int64)[places] - 1
+        found[d] = spans_at(texts[d], list(zip(places.tolist(), bits[of].tolist(), strict=True)))
+    return found
 
 
 def _slices(texts: list[str | None], limit: int = 8 << 20):
