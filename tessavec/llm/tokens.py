@@ -66,14 +66,13 @@ def byte_symbols() -> list[str]:
     return out
 
 
-def merge(symbols: list, pairs: dict) -> list:
+def _merged(symbols: list, pairs: dict) -> tuple[list, int]:
     """Byte-pair merging over a linked list: pops the lowest-ranked adjacent pair, leftmost first, until none is left.
 
-    ``pairs`` maps two symbols to (rank, merged symbol). n symbols take O(n log n).
+    ``pairs`` maps two symbols to (rank, merged symbol). Gives the list with None where a symbol went into its
+    neighbour, and the number of merges; n symbols take O(n log n).
     """
-    n = len(symbols)
-    if n < 2:
-        return symbols
+    n, merges = len(symbols), 0
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(pairs[p][0], i) for i in range(n - 1) if (p := (symbols[i], symbols[i + 1])) in pairs]
     heapq.heapify(heap)
@@ -86,6 +85,7 @@ def merge(symbols: list, pairs: dict) -> list:
         if now is None or now[0] != rank:  # one of the two has merged otherwise meanwhile
             continue
         symbols[i], symbols[j] = now[1], None
+        merges += 1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
@@ -93,15 +93,49 @@ def merge(symbols: list, pairs: dict) -> list:
                 heapq.heappush(heap, (p[0], i))
         if (h := before[i]) >= 0 and (p := pairs.get((symbols[h], symbols[i]))) is not None:
             heapq.heappush(heap, (p[0], h))
-    return [s for s in symbols if s is not None]
+    return symbols, merges
+
+
+def merge(symbols: list, pairs: dict) -> list:
+    """The symbols that are left when no pair can merge."""
+    return [s for s in _merged(symbols, pairs)[0] if s is not None]
 
 
 def merge_count(symbols: list, pairs: dict) -> int:
     """Tokens of a word: its symbols minus the merges made; no identifiers are looked up."""
-    return len(merge(symbols, pairs))
+    return len(symbols) - _merged(symbols, pairs)[1]
 
 
 _ENDS = (".", ",")
+
+
+class MarkCuts:
+    """Whether the library always begins a new pre-token at a sentence mark that follows a word.
+
+    It does where the word's last character is a letter once the tokenizer has normalised it. Some letters turn
+    into a letter and a combining mark there, which would join the sentence mark. Each character is asked once.
+    """
+
+    def __init__(self, library) -> None:
+        self.library, self.known = library, dict.fromkeys("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", True)
+
+    def __call__(self, piece: str) -> bool:
+        if piece[-1:] not in _ENDS or not (word := piece[:-1]).isalpha():
+            return False
+        last = word[-1]
+        found = self.known.get(last)
+        return self._ask(last) if found is None else found
+
+    def _ask(self, letter: str) -> bool:
+        said, (normal, split) = True, (self.library.normalizer, self.library.pre_tokenizer)
+        for mark in _ENDS:
+            text = letter + mark
+            parts = split.pre_tokenize_str(normal.normalize_str(text) if normal else text)
+            said = said and parts[-1][0] == mark
+        self.known[letter] = said
+        return said
+
+
 #: The split that the tokenizer file of the word-end vocabulary names.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BLANKS = regex.compile(r"\p{White_Space}+")
@@ -118,6 +152,7 @@ class WordEndCounter:
         self.pairs, special = merges_of(path)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.path, self.known, self.words = path, Cache(cache), Cache(cache // 2)
+        self.cuts = MarkCuts(self.library)
 
     def word(self, word: str) -> int:
         n = self.words.get(word)
@@ -168,7 +203,7 @@ class WordEndCounter:
                     if n is None:
                         p = pieces[k]
                         if (n := known.late.get(p)) is None:
-                            n = self.word_comma(p) if p[-1:] in _ENDS and p[:-1].isalpha() else known.put(p, self.piece(p))
+                            n = self.word_comma(p) if self.cuts(p) else known.put(p, self.piece(p))
                         counts[k] = n
             total += sum(counts)
         return total
@@ -214,6 +249,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.cuts = MarkCuts(self.library)
         self.code = {2: "H", 4: "I"}[width]
         self.first, self.later = Cache(cache // 4), Cache(cache)
         self.newline, *marks = self._encode(["\n", *_ENDS])
@@ -240,7 +276,7 @@ class Encoder:
                         elif out[k] is None:
                             if not p or p[0].isspace() or p[-1].isspace():
                                 return self._encode([text])[0]
-                            word, mark = (p[:-1], self.marks[p[-1]]) if p[-1] in _ENDS and p[:-1].isalpha() else (p, b"")
+                            word, mark = (p[:-1], self.marks[p[-1]]) if self.cuts(p) else (p, b"")
                             if mark and (ids := cache.get(word)) is not None:
                                 out[k] = cache.put(p, ids + mark)
                             else:
