@@ -113,7 +113,34 @@ def partitions(spark: SparkSession) -> int:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops input columns that clash with the columns an operator adds."""
     lower = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
+    return df.select(*[quoted(c) for c in df.columns if c.lower() not in lower])
+
+
+def quoted(name: str):
+    """A top-level column, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows whose id isn't in ``gone`` (column gone); rows with a null id stay. Columns may have any names."""
+    packed = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), quoted(id_col).alias("id"))
+    left = packed.join(gone, packed["id"] == gone["gone"], "left_anti")
+    return left.select("row.*")
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str = "size", shares: int = 1024) -> DataFrame:
+    """Inner join with ``table``, which has each key once and says how many of the rows have it.
+
+    At most ``shares`` keys can each hold one of so many parts of all rows. Those few are broadcast and join without
+    a shuffle; the other keys are small and join by exchange. ``rows`` is read twice and should be stored.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) >= max(1000, -(-total // shares))
+    if table.where(is_hot).isEmpty():
+        return rows.join(table, key)
+    hot = table.where(is_hot)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~is_hot), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def ascii_lower(text):
