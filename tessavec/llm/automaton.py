@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from re import _constants as C
 from re import _parser
 
@@ -11,9 +12,10 @@ import numpy as np
 class Nfa:
     """Thompson automaton; ``edges[s]`` holds (byte set, target), ``free[s]`` the empty moves."""
 
-    def __init__(self) -> None:
+    def __init__(self, backward: bool = False) -> None:
         self.edges: list[list[tuple[frozenset, int]]] = []
         self.free: list[list[int]] = []
+        self.backward = backward
 
     def state(self) -> int:
         self.edges.append([])
@@ -21,8 +23,8 @@ class Nfa:
         return len(self.edges) - 1
 
     def add(self, items, at: int) -> int:
-        """Appends parsed regex items after state ``at``; returns the end state."""
-        for op, arg in items:
+        """Appends parsed regex items after state ``at``, last item first if ``backward``; returns the end state."""
+        for op, arg in reversed(list(items)) if self.backward else items:
             if op is C.LITERAL:
                 at = self._step(at, frozenset([arg]))
             elif op is C.IN:
@@ -74,19 +76,20 @@ def _byte_set(items) -> frozenset:
 
 
 class Dfa:
-    """Combined search automaton of several rules.
+    """Combined automaton of several rules: one that finds them anywhere, or a backward one that reads from a place
+    where a rule ends towards its start and nothing else.
 
     ``table`` (states x classes, flat), ``classes`` (byte -> class), ``accept`` (state -> bits of the rules that
     end here), ``first_accept`` (accepting states have the highest numbers), ``reset`` (byte -> True where the
     byte leads every state to the start, so that a scan may begin anew after it).
     """
 
-    def __init__(self, patterns: list[bytes]) -> None:
-        nfa = Nfa()
+    def __init__(self, patterns: list[bytes], backward: bool = False) -> None:
+        nfa = Nfa(backward)
         start = nfa.state()
         ends = [nfa.add(_parser.parse(p), start) for p in patterns]
         self.classes, sample = _byte_classes(nfa)
-        table, accept = _subsets(nfa, start, ends, sample)
+        table, accept = _subsets(nfa, start, ends, sample, anywhere=not backward)
         table, accept = _minimise(table, accept)
         order = np.argsort(accept > 0, kind="stable")
         rank = np.empty(len(order), np.int32)
@@ -98,15 +101,16 @@ class Dfa:
         self.reset = (table == self.start).all(axis=0)[self.classes]
         self.table = np.ascontiguousarray(table.astype(np.int32) * self.n_classes).ravel()  # targets as row offsets
 
-    def scan(self, data: np.ndarray, lanes: int = 4096) -> list[tuple[int, int]]:
-        """(position of the last byte, rule bits) of every hit, in one pass over the bytes of ``data``.
+    def scan(self, data: np.ndarray, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of bytes, rule bits): where rules end, ascending, in one pass over the bytes of ``data``.
 
         The bytes are cut after reset bytes into many lanes, which all step together; few remaining long
         lanes are finished byte by byte.
         """
         n, nc = len(data), self.n_classes
+        none = np.zeros(0, np.int64)
         if not n:
-            return []
+            return none, none
         resets = np.flatnonzero(self.reset[data])
         want = np.arange(1, min(lanes, n // 64) + 1, dtype=np.int64) * n // (min(lanes, n // 64) + 1)
         at = np.searchsorted(resets, want)
@@ -117,7 +121,7 @@ class Dfa:
         pos, sizes = cuts[order], sizes[order]
         cls, table, limit = self.classes[data], self.table, self.first_accept * nc
         state = np.full(len(pos), self.start * nc, np.int32)
-        hits: list[tuple[int, int]] = []
+        places, states = [], []
         alive, step = len(pos), 0
         shrink = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right") if len(sizes) else []
         for step in range(int(sizes[0])):
@@ -126,21 +130,54 @@ class Dfa:
                 break
             pos, state = pos[:alive], state[:alive]
             state = table[state + cls[pos + step]]
-            if (state >= limit).any():
-                for k in np.flatnonzero(state >= limit):
-                    hits.append((int(pos[k]) + step, int(self.accept[state[k] // nc])))
+            hit = np.flatnonzero(state >= limit)
+            if len(hit):
+                places.append(pos[hit] + step)
+                states.append(state[hit])
         else:
             step += 1
         if alive <= 8 and step < int(sizes[0]):
-            flat, accept = table.tolist(), self.accept
+            flat, found = table.tolist(), []
             for k in range(alive):
                 s, p = int(state[k]), int(pos[k]) + step
                 for c in cls[p : int(pos[k]) + int(sizes[k])].tolist():
                     s = flat[s + c]
                     if s >= limit:
-                        hits.append((p, int(accept[s // nc])))
+                        found.append((p, s))
                     p += 1
-        return hits
+            if found:
+                where, there = np.array(found, np.int64).T
+                places.append(where)
+                states.append(there)
+        if not places:
+            return none, none
+        places, states = np.concatenate(places), np.concatenate(states)
+        order = np.argsort(places, kind="stable")
+        return places[order], self.accept[states[order] // nc]
+
+    def longest(self, data: bytes, last: int, bit: int) -> int:
+        """Of a backward automaton: the first byte of the longest match of rule ``bit`` that ends with byte ``last``."""
+        table, classes, accept, nc = self._lists
+        state, at, first = self.start, last, last + 1
+        while at >= 0:
+            state = table[state * nc + classes[data[at]]] // nc
+            if state == self._dead:
+                break
+            if accept[state] >> bit & 1:
+                first = at
+            at -= 1
+        return first
+
+    @functools.cached_property
+    def _lists(self) -> tuple[list, list, list, int]:
+        return self.table.tolist(), self.classes.tolist(), self.accept.tolist(), self.n_classes
+
+    @functools.cached_property
+    def _dead(self) -> int:
+        """The state that nothing leaves and where no rule ends, or -1."""
+        rows = self.table.reshape(-1, self.n_classes) // self.n_classes
+        dead = np.flatnonzero((rows == np.arange(len(rows))[:, None]).all(axis=1) & (self.accept == 0))
+        return int(dead[0]) if len(dead) else -1
 
 
 def _byte_classes(nfa: Nfa) -> tuple[np.ndarray, list[int]]:
@@ -157,8 +194,8 @@ def _byte_classes(nfa: Nfa) -> tuple[np.ndarray, list[int]]:
     return classes, sample
 
 
-def _subsets(nfa: Nfa, start: int, ends: list[int], sample: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Subset construction; the start set stays in every subset, as a match may begin anywhere."""
+def _subsets(nfa: Nfa, start: int, ends: list[int], sample: list[int], anywhere: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Subset construction; with ``anywhere`` the start set stays in every subset, as a match may begin at any byte."""
 
     def closure(states) -> frozenset:
         seen, todo = set(states), list(states)
@@ -182,7 +219,7 @@ def _subsets(nfa: Nfa, start: int, ends: list[int], sample: list[int]) -> tuple[
         live = [moves[s] for s in subset if nfa.edges[s]]
         row = []
         for k in range(len(sample)):
-            to = frozenset(first.union(*(c for m in live for c in m[k])))
+            to = (first if anywhere else frozenset()).union(*(c for m in live for c in m[k]))
             if to not in number:
                 number[to] = len(todo)
                 todo.append(to)

@@ -1,15 +1,16 @@
 """Secret scans: one pass of a combined deterministic automaton over the bytes of each text.
 
-The automaton accepts where any rule's necessary beginning ends, for all rules at once. Texts without a hit are
-done; in the others each hit leads back to where its beginning starts, and the whole rule is matched from there,
-which gives spans in code points. Beginnings stop where counting further would multiply the states and tell little.
+The rules are compiled whole, by subset construction and minimisation, into one table of transitions. The pass marks
+every byte where a rule's beginning is complete and every byte where the whole rule may end. Since the last part of a
+rule repeats, its end marks follow each other, and a match goes on to the last of them. Where it starts is read by the
+backward automaton of the beginnings. Matches are then taken leftmost first and without overlap within a kind, and the
+least lengths apply. The least length of ``hex`` is part of the automaton, as expanded states; those of the others are
+checked on the spans, since a match that is too short still takes its characters.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import frugal, without
+from ._common import frugal, quoted, without
 from .automaton import Dfa
 
 
@@ -27,102 +28,65 @@ def _either_case(word: str) -> str:
 
 _NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + "|" + _either_case("api") + "_?" + _either_case("key")
 _ASSIGN = rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?"""
-#: kind: (what every match begins with, for the automaton, whole form, least length of the last group)
+#: kind: (beginning, what may follow it, least length of the value or, without a value, of the match)
 RULES: dict[str, tuple[str, str, int]] = {
-    "assign": (_ASSIGN + "[A-Za-z0-9+/_.=-]", _ASSIGN + "([A-Za-z0-9+/_.=-]+)", 6),
-    "access": ("AKIA[A-Z0-9]", "(AKIA[A-Z0-9]+)", 20),
-    "hex": ("[0-9a-f]{24}", "([0-9a-f]+)", 24),
-    "github": ("gh[opsu]_[A-Za-z0-9]", "(gh[opsu]_[A-Za-z0-9]+)", 34),
-    "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1),
+    "assign": (_ASSIGN + "[A-Za-z0-9+/_.=-]", "[A-Za-z0-9+/_.=-]*", 6),
+    "access": ("AKIA[A-Z0-9]", "[A-Z0-9]*", 20),
+    "hex": ("[0-9a-f]{24}", "[0-9a-f]*", 24),
+    "github": ("gh[opsu]_[A-Za-z0-9]", "[A-Za-z0-9]*", 34),
+    "pem": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "", 1),
 }
 BASE = ("assign", "access", "hex")
 KINDS = tuple(RULES)
+#: Kinds whose least length is that of their value, which starts with the last character of the beginning.
+_VALUED = {KINDS.index("assign")}
+_LEAST = [least for _, _, least in RULES.values()]
 
 
 @functools.cache
 def combined() -> Dfa:
-    return Dfa([short.encode() for short, _, _ in RULES.values()])
+    """The beginnings of all rules, and all rules whole."""
+    return Dfa([first.encode() for first, _, _ in RULES.values()] + [(first + more).encode() for first, more, _ in RULES.values()])
 
 
 @functools.cache
-def _whole() -> list[re.Pattern]:
-    return [re.compile(whole) for _, whole, _ in RULES.values()]
+def beginnings() -> Dfa:
+    """The beginnings of all rules, read backward."""
+    return Dfa([first.encode() for first, _, _ in RULES.values()], backward=True)
 
 
-_NAME_END = re.compile(rf"(?:{_NAMES})\Z")
+def spans_of(data: bytes, starts: np.ndarray, places: np.ndarray, bits: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, first byte, kind number, end) of the texts that begin at ``starts`` in ``data``, from the marks of a pass.
 
-
-def _assign_start(text: str, at: int) -> int:
-    """Start of the assignment whose value begins at ``at``: neighbouring parts share no character, so there is one."""
-
-    def back(at: int, chars: str) -> int:
-        return at - (text[at - 1] in chars)
-
-    def back_blanks(at: int) -> int:
-        while text[at - 1] == " ":
-            at -= 1
-        return at
-
-    at = back_blanks(back(back_blanks(back(at, "\"'")), ":="))
-    at = back(at, "\"'")
-    return _NAME_END.search(text, max(0, at - 8), at).start()
-
-
-#: Start of a rule's beginning by the place of its last character.
-_START = {
-    "assign": _assign_start,
-    "access": lambda _, at: at - 4,
-    "hex": lambda _, at: at - 23,
-    "github": lambda _, at: at - 4,
-    "pem": lambda text, at: text.rfind("-----BEGIN ", 0, at + 1),
-}
-_BY_NUMBER = [_START[k] for k in RULES]
-
-
-def spans_at(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """As ``exact_spans``, of the ascending hits (code point where a beginning ends, rule bits), with no look elsewhere.
-
-    Every whole match begins with a hit's beginning, and of one rule the beginnings start in the order of their ends.
+    Per text ordered by start, then kind; leftmost and non-overlapping per kind, too short ones dropped.
     """
-    out, free, whole = [], [0] * len(KINDS), _whole()
-    for at, bits in hits:
-        for k, kind in enumerate(KINDS):
-            # a hit left of free lies in the rule's last match, and so does what starts left of it
-            if bits >> k & 1 and at >= free[k] and (start := _BY_NUMBER[k](text, at)) >= free[k]:
-                m = whole[k].match(text, start)
-                free[k] = m.end()
-                if m.end(1) - m.start(1) >= RULES[kind][2]:
-                    out.append((m.start(), k, m.end()))
-    return sorted(out)
-
-
-def exact_spans(text: str, bits: int) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the rules in ``bits``: leftmost, non-overlapping per kind, too short ones dropped."""
-    out = []
-    for k, (kind, pattern) in enumerate(zip(KINDS, _whole(), strict=True)):
-        if bits >> k & 1:
-            least = RULES[kind][2]
-            out += [(m.start(), k, m.end()) for m in pattern.finditer(text) if m.end(1) - m.start(1) >= least]
+    out, back = [], beginnings()
+    for k in range(len(KINDS)):
+        begun, ends = places[bits >> k & 1 == 1], places[bits >> k + len(KINDS) & 1 == 1]
+        lasts = ends[np.append(np.diff(ends) != 1, True)] if len(ends) else ends
+        texts, lasts = np.searchsorted(starts, begun, side="right") - 1, lasts[np.searchsorted(lasts, begun)]
+        free = 0
+        for text, first, last in zip(texts.tolist(), begun.tolist(), lasts.tolist(), strict=True):
+            # what starts left of free lies in the last match, which took it or dropped it
+            if first >= free and (start := back.longest(data, first, k)) >= free:
+                free = last + 1
+                if free - (first if k in _VALUED else start) >= _LEAST[k]:
+                    out.append((text, start, k, free))
     return sorted(out)
 
 
 def find_spans(texts: list[str | None], dfa: Dfa) -> dict[int, list[tuple[int, int, int]]]:
-    """Spans of the texts that have any, by place in the list."""
+    """(start, kind number, end) in code points of the texts that have any, by place in the list."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raw), np.uint8)
+    data = b"\n".join(raw)
     starts = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
-    hits = sorted(dfa.scan(data))
-    if not hits:
-        return {}
-    at, bits = np.array(hits, np.int64).T
-    docs = np.searchsorted(starts, at, side="right") - 1
-    found = {}
-    for of in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(docs)) + 1):
-        d = int(docs[of[0]])
-        places = at[of] - starts[d]
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for text, start, kind, end in spans_of(data, starts, *dfa.scan(np.frombuffer(data, np.uint8))):
+        found.setdefault(text, []).append((start - int(starts[text]), kind, end - int(starts[text])))
+    for d, spans in found.items():
         if len(raw[d]) > len(texts[d]):  # code points before a byte: bytes that don't continue one
-            places = np.cumsum(np.frombuffer(raw[d], np.uint8) & 0xC0 != 0x80, dtype=np.int64)[places] - 1
-        found[d] = spans_at(texts[d], list(zip(places.tolist(), bits[of].tolist(), strict=True)))
+            before = np.cumsum(np.frombuffer(raw[d], np.uint8) & 0xC0 != 0x80, dtype=np.int64)
+            found[d] = [(int(before[s]) - 1, kind, int(before[e - 1])) for s, kind, e in spans]
     return found
 
 
@@ -190,16 +154,9 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    said = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    joined = lambda spans: F.array_join(F.transform(spans, said), ",")
     found = scan_secrets(docs).select("doc_id", "secret_spans")
     base = F.filter("secret_spans", lambda x: x["kind"].isin(*BASE))
     n = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[n(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
-
-
-def brute_force(text: str | None) -> dict:
-    """The digest columns of one text by plain regular expressions; for tests."""
-    spans = exact_spans(text or "", (1 << len(KINDS)) - 1)
-    said = lambda xs: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in xs)
-    base = [x for x in spans if KINDS[x[1]] in BASE]
-    return {f"n_{k}": sum(KINDS[x[1]] == k for x in base) for k in BASE} | {"base_sha256": hashlib.sha256(said(base).encode()).hexdigest(), "spans": said(spans)}
