@@ -54,14 +54,14 @@ def _remove_all() -> None:
             return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again, which cuts the lineage.
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again, which cuts the lineage; in folders by a column if given.
 
     Any executor may be lost afterwards: the rows are in the shared store, not in a block manager.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -128,18 +128,26 @@ def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     return left.select("row.*")
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str = "size", shares: int = 1024) -> DataFrame:
-    """Inner join with ``table``, which has each key once and says how many of the rows have it.
+def hot_keys(table: DataFrame, size: str = "size", shares: int = 1024) -> DataFrame | None:
+    """Of ``table``, with one row a key and how many rows have it: the keys with a part of all rows of 1 / ``shares`` or more.
 
-    At most ``shares`` keys can each hold one of so many parts of all rows. Those few are broadcast and join without
-    a shuffle; the other keys are small and join by exchange. ``rows`` is read twice and should be stored.
+    There can be no more than ``shares`` of them, so they may be broadcast. None where there are none.
     """
     total = table.agg(F.sum(size)).first()[0] or 0
-    is_hot = F.col(size) >= max(1000, -(-total // shares))
-    if table.where(is_hot).isEmpty():
+    hot = table.where(F.col(size) >= max(1000, -(-total // shares)))
+    return None if hot.isEmpty() else hot
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str = "size") -> DataFrame:
+    """Inner join with ``table``, which has each key once and says how many of the rows have it.
+
+    The few hot keys are broadcast and join without a shuffle; the other keys are small and join by exchange.
+    ``rows`` is read twice then and should be stored.
+    """
+    hot = hot_keys(table, size)
+    if hot is None:
         return rows.join(table, key)
-    hot = table.where(is_hot)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~is_hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 

@@ -1,13 +1,14 @@
 """Exact deduplication by a two-pass Bloom filter, with DataFrame functions only.
 
-Pass 1 hashes every text to two cells of a bit array and keeps the cells that were hit more than once.
-Pass 2 tests each row's cells: a row with a cell hit only once is certainly unique and passes straight
-through; only the others shuffle, to be grouped by the SHA-256 of the normalised text, so a false positive
-of the filter costs a little shuffle and never a wrong result.
-
-The filter is broadcast. Its size is bounded by construction: ``bits_per_row`` a row and never more than
-``max_filter_bits`` (default 2**30 bits, 128 MB). Beyond that the filter fills up and more rows take the
-exact path, up to a plain group-by at worst; results stay the same.
+Pass 1 counts one 8-byte hash of each text, after partial counts in every task, and enters the hashes that occur
+again into a Bloom filter of two bits each. Pass 2 tests every row: a row with a bit that isn't set is certainly
+unique and passes straight through; only the others shuffle, to be grouped by the SHA-256 of the normalised text,
+so a false positive of the filter costs a little shuffle and never a wrong result.
+
+The filter has ``bits_per_hash`` bits for each hash that occurs again, and is broadcast. Where that exceeds
+``max_filter_bits`` (default 2**30 bits, 128 MB) the hashes are split into ranges with a filter of that size each,
+and the rows of a range, stored apart, meet the filter of their range alone. So no filter fills up or outgrows its
+bound, whatever the input's size.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, stored, without
+from ._common import ascii_lower, hot_join, hot_keys, quoted, stored
 
 OUTPUT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -25,74 +26,117 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(ascii_lower(text), 256))
 
 
-def _with_cells(rows: DataFrame, mask: int) -> DataFrame:
-    h = F.xxhash64("__digest")
-    return rows.withColumns({"__c1": h.bitwiseAND(mask), "__c2": F.shiftrightunsigned(h, 32).bitwiseAND(mask)})
+def _hash(digest: Column) -> Column:
+    return F.xxhash64(digest)
 
 
-def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """Pass 1: (bucket, bitmap) rows of the cells that two or more rows hit; at most bits/32768 rows of 4 KB."""
-    cells = _with_cells(digests, bits - 1).select(F.explode(F.array_distinct(F.array("__c1", "__c2"))).alias("cell"))
-    again = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    return again.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
+def _range_of(h: Column, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), h), F.lit(ranges)).cast("int") if ranges > 1 else F.lit(0)
 
 
-def mark_possible_repeats(rows: DataFrame, seen_again: DataFrame, bits: int) -> DataFrame:
-    """Pass 2: adds ``__maybe``, true where both cells of the row are set."""
-    out = _with_cells(rows, bits - 1)
-    for k in ("1", "2"):
-        part = F.broadcast(seen_again.select(F.col("bucket").alias(f"__b{k}"), F.col("bitmap").alias(f"__m{k}")))
-        out = out.join(part, F.bitmap_bucket_number(f"__c{k}") == F.col(f"__b{k}"), "left")
-    bit = lambda k: F.expr(f"shiftright(cast(conv(hex(substring(__m{k}, cast(bitmap_bit_position(__c{k}) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(__c{k}) % 8 as int)) & 1")
-    return out.withColumn("__maybe", F.coalesce((bit("1") + bit("2")) == 2, F.lit(False))).drop("__c1", "__c2", "__b1", "__b2", "__m1", "__m2")
+def _bits_of(h: Column, bits: int) -> list[Column]:
+    return [h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)]
 
 
-def filter_bits(n: int, bits_per_row: int, max_filter_bits: int) -> int:
-    return min(max(1 << max(n * bits_per_row, 1).bit_length(), 1 << 15), 1 << (max_filter_bits.bit_length() - 1))
+def filter_shape(repeats: int, bits_per_hash: int, max_filter_bits: int) -> tuple[int, int]:
+    """(bits of one filter, number of ranges) for so many hashes; bits are a power of two and a whole 4 KB block at least."""
+    most = max(1 << 15, 1 << (max_filter_bits.bit_length() - 1))
+    want = max(repeats * bits_per_hash, 1)
+    if want <= most:
+        return max(1 << 15, 1 << (want - 1).bit_length()), 1
+    return most, -(-want // most)
 
 
-def _groups(keys: DataFrame) -> DataFrame:
-    """Of rows (__digest, __id): the digests that occur more than once. Partial counts meet, not rows."""
-    return keys.groupBy("__digest").agg(F.max("__id").alias("__keep"), F.count("*").alias("__size")).where("__size > 1")
+def repeated_hashes(digests: DataFrame) -> DataFrame:
+    """Pass 1: the hashes of two or more rows (column h)."""
+    return digests.groupBy(_hash(F.col("digest")).alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h")
 
 
-def _prepare(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_filter_bits: int):
-    keys = stored(docs.select(F.col(id_col).alias("__id"), text_digest(F.col(text_col)).alias("__digest")), "digests")
-    bits = filter_bits(keys.count(), bits_per_row, max_filter_bits)
-    again = stored(repeat_filter(keys, bits), "repeats")
-    marked = mark_possible_repeats(keys, again, bits)
-    groups = stored(_groups(marked.where("__maybe")), "groups")
-    return marked, again, bits, groups
+def bloom_filters(hashes: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """(range, bucket, bitmap): of every range at most bits / 32768 rows of 4 KB."""
+    cells = hashes.select(_range_of(F.col("h"), ranges).alias("range"), F.explode(F.array(*_bits_of(F.col("h"), bits))).alias("cell"))
+    bucket = F.bitmap_bucket_number("cell").alias("bucket")
+    return cells.groupBy("range", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
 
 
-def annotate_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bits: int = 1 << 30) -> DataFrame:
+def _tested(rows: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
+    """Pass 2 on one range: adds ``maybe``, true where both bits of the row's hash are set. ``blocks`` is one filter."""
+    out = rows.withColumns({f"cell{k}": c for k, c in enumerate(_bits_of(_hash(F.col("digest")), bits))})
+    found = F.lit(True)
+    for k in (0, 1):
+        part = F.broadcast(blocks.select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}")))
+        out = out.join(part, F.bitmap_bucket_number(f"cell{k}") == F.col(f"bucket{k}"), "left")
+        byte = F.expr(f"substring(bitmap{k}, cast(bitmap_bit_position(cell{k}) div 8 as int) + 1, 1)")
+        value = F.conv(F.hex(byte), 16, 10).cast("int")
+        place = F.expr(f"cast(bitmap_bit_position(cell{k}) % 8 as int)")
+        found = found & (F.call_function("shiftright", value, place).bitwiseAND(1) == 1)
+    return out.select(*rows.columns, F.coalesce(found, F.lit(False)).alias("maybe"))
+
+
+class RepeatFilter:
+    """The filters of all ranges over rows that have a column ``digest``."""
+
+    def __init__(self, keys: DataFrame, bits_per_hash: int, max_filter_bits: int) -> None:
+        hashes = stored(repeated_hashes(keys), "repeats")
+        self.bits, self.ranges = filter_shape(hashes.count(), bits_per_hash, max_filter_bits)
+        self.blocks = stored(bloom_filters(hashes, self.bits, self.ranges), "filters")
+
+    def mark(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``maybe``. With several ranges the rows are stored by range first, without a shuffle."""
+        if self.ranges == 1:
+            return _tested(rows, self.blocks, self.bits)
+        dealt = stored(rows.withColumn("range", _range_of(_hash(F.col("digest")), self.ranges)), "ranges", "range")
+        parts = [_tested(dealt.where(F.col("range") == r).select(*rows.columns), self.blocks.where(F.col("range") == r), self.bits) for r in range(self.ranges)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+
+def _groups(maybe: DataFrame) -> DataFrame:
+    """Of rows (digest, id): largest id and size of every digest. Partial results meet, not rows."""
+    return maybe.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("size"))
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return stored(docs.select(quoted(id_col).alias("id"), text_digest(quoted(text_col)).alias("digest")), "digests")
+
+
+def annotate_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_filter_bits: int = 1 << 30) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts the row
     with the largest id stays. A row with a null id stays only where all rows of its group have none; rows
     that repeat the kept id with the same text are all marked kept (``drop_duplicates`` keeps one of them).
+    Columns may have any names; an empty table gives an empty one.
     """
-    marked, _, _, groups = _prepare(docs, id_col, text_col, bits_per_row, max_filter_bits)
-    hexed = F.lower(F.hex("__digest")).alias("text_sha256")
-    alone = marked.where(~F.col("__maybe")).select(F.col("__id").alias(id_col), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
-    found = marked.where("__maybe").join(groups, "__digest", "left")
-    several = F.col("__size").isNotNull()
-    keep = F.when(several, F.col("__keep")).otherwise(F.col("__id"))
-    rest = found.select(F.col("__id").alias(id_col), keep.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("__id")).alias("kept"), hexed)
-    return alone.unionByName(rest)
+    keys = _keys(docs, id_col, text_col)
+    marked = RepeatFilter(keys, bits_per_hash, max_filter_bits).mark(keys)
+    hexed = F.lower(F.hex("digest")).alias("text_sha256")
+    alone = marked.where("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
+    maybe = stored(marked.where("maybe").select("id", "digest"), "maybe")
+    found = hot_join(maybe, stored(_groups(maybe), "groups"), "digest")
+    several = found.select("id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("keep").eqNullSafe(F.col("id")).alias("kept"), hexed)
+    return alone.unionByName(several).withColumnRenamed("id", id_col)
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bits: int = 1 << 30) -> DataFrame:
-    """The rows that stay, with all their columns. Only possible repeats shuffle; the rest pass through.
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_hash: int = 16, max_filter_bits: int = 1 << 30) -> DataFrame:
+    """The rows that stay, with all their columns, whatever their names. Only possible repeats shuffle; the rest pass through.
 
-    Rows that repeat id and text (also a null id) leave one row.
+    Rows that repeat id and text (also a null id) leave one row. Of the few texts that very many rows have, the rows
+    that go are dropped before anything shuffles.
     """
-    columns = docs.columns
-    _, again, bits, groups = _prepare(docs, id_col, text_col, bits_per_row, max_filter_bits)
-    marked = mark_possible_repeats(without(docs, "__digest").withColumn("__digest", text_digest(F.col(text_col))), again, bits)
-    alone = marked.where(~F.col("__maybe"))
-    rest = marked.where("__maybe").join(groups, "__digest", "left").where(F.col("__size").isNull() | F.col("__keep").eqNullSafe(F.col(id_col))).dropDuplicates([id_col, "__digest"])
-    return alone.select(*columns).unionByName(rest.select(*columns))
+    keys = _keys(docs, id_col, text_col)
+    repeats = RepeatFilter(keys, bits_per_hash, max_filter_bits)
+    groups = stored(_groups(repeats.mark(keys).where("maybe")), "groups")
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("id"), text_digest(quoted(text_col)).alias("digest"))
+    marked = repeats.mark(packed)
+    maybe, hot = marked.where("maybe"), hot_keys(groups, "size")
+    if hot is not None:
+        known = F.broadcast(hot.select("digest", F.col("keep").alias("hot_keep"), F.lit(True).alias("hot")))
+        maybe = maybe.join(known, "digest", "left").where(F.col("hot").isNull() | F.col("hot_keep").eqNullSafe(F.col("id")))
+    kept = maybe.join(groups, "digest").where(F.col("keep").eqNullSafe(F.col("id"))).dropDuplicates(["id", "digest"])
+    return marked.where("not maybe").select("row.*").unionByName(kept.select("row.*"))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

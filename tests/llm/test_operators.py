@@ -68,13 +68,20 @@ def test_exact_dedup(docs, empty, spark):
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in groups.values())
-    # A filter of few bits lets more rows take the exact path, with the same result.
-    small = exact_dedup.annotate_duplicates(docs, max_filter_bits=1 << 15, bits_per_row=1).collect()
-    assert sorted(map(tuple, small)) == sorted(map(tuple, got))
+    # A filter of few bits lets more rows take the exact path, and small filters make several ranges: the same result.
+    for few in ({"bits_per_hash": 1}, {"bits_per_hash": 1 << 12, "max_filter_bits": 1 << 15}):
+        small = exact_dedup.annotate_duplicates(docs, **few).collect()
+        assert sorted(map(tuple, small)) == sorted(map(tuple, got))
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs, **few).collect()) == sorted(max(g) for g in groups.values())
+    assert exact_dedup.filter_shape(10**10, 16, 1 << 30) == (1 << 30, 150) and exact_dedup.filter_shape(1000, 16, 1 << 30) == (1 << 15, 1)
     assert exact_dedup.annotate_duplicates(empty).count() == 0
     ids = spark.createDataFrame([(None, "a"), (3, "A"), (None, "b"), (None, "b")], "doc_id long, text string")
     assert sorted((r.keep_id is None, r.group_size, r.kept) for r in exact_dedup.annotate_duplicates(ids).collect()) == [(False, 2, False), (False, 2, True), (True, 2, True), (True, 2, True)]
     assert exact_dedup.drop_duplicates(ids).count() == 2
+    names = ["digest", "__digest", "row", "id", "maybe", "a.b", "a`b", "hot"]
+    odd = spark.createDataFrame([(k // 2, "t", *map(str, range(6)), k % 2) for k in range(3000)], ["id", "a.b", *[n for n in names if n not in ("id", "a.b")], "n"])
+    kept = exact_dedup.drop_duplicates(odd, "id", "a.b")
+    assert kept.columns == odd.columns and [tuple(r)[:8] for r in kept.collect()] == [(1499, "t", *map(str, range(6)))]
 
 
 def test_ngram_join(docs, empty, spark):
