@@ -10,18 +10,22 @@ DISTANCES = ("dot", "cosine")
 
 @dataclass(frozen=True)
 class CollectionConfig:
-    """``indexed``: item fields promoted to columns of their own, by name and SQL type."""
+    """``indexed``: item fields promoted to columns of their own, by name and SQL type.
+
+    ``paths``: where an indexed field stands in the item, as a JSON path, if not at the top under its name.
+    ``partition_size``: rows are dealt into parts of so many ordinals, each a folder of its own in storage.
+    """
 
     dim: int
     distance: str = "dot"
     max_count: int | None = None
     metadata_max_bytes: int | None = None
     partition_size: int | None = None
-    item_schema: str | None = None
     indexed: dict[str, str] = field(default_factory=dict)
+    paths: dict[str, str] = field(default_factory=dict)
 
     def healthy(self) -> bool:
-        return self.dim > 0 and self.distance in DISTANCES
+        return self.dim > 0 and self.distance in DISTANCES and (self.partition_size is None or self.partition_size > 0)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -31,14 +32,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))
 
 
+def checked_query(values: Sequence[float], dim: int | None = None) -> list[float]:
+    """The components of a query vector; raises where one isn't finite or the length isn't ``dim``."""
+    found = [float("nan") if x is None else float(x) for x in values]
+    if not found or not all(map(math.isfinite, found)):
+        raise ValueError("a query vector needs finite components")
+    if dim is not None and len(found) != dim:
+        raise ValueError(f"a query vector needs {dim} components, not {len(found)}")
+    return found
+
+
 def vector_literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in values])
+    return F.array(*[F.lit(x) for x in checked_query(values)])
 
 
 def score(vector: Column, query: Sequence[float] | Column, distance: str = "dot") -> Column:
-    """Higher is better; rounded so that ties are ties in every engine."""
+    """Higher is better; rounded so that ties are ties in every engine. Null for a null vector.
+
+    A vector of another length than the query raises when the row is read.
+    """
+    if distance not in ("dot", "cosine"):
+        raise ValueError(f"unknown distance: {distance}")
     q = query if isinstance(query, Column) else vector_literal(query)
-    return F.round(dot(vector, q) if distance == "dot" else cosine(vector, q), SCORE_DIGITS)
+    found = F.round(dot(vector, q) if distance == "dot" else cosine(vector, q), SCORE_DIGITS)
+    wrong = F.raise_error(F.lit("the query vector has another length than the vectors")).cast("double")
+    return F.when(F.size(vector) == F.size(q), found).when(vector.isNotNull(), wrong)
 
 
 def truncated_utf8(text: Column, limit: int) -> Column:

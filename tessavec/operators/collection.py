@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import CollectionConfig
 from ..functions.vector import is_valid_vector, l2_normalize, truncated_utf8
+from ..sources.shared import release
 
 COLUMNS = ("ord", "id", "vector", "metadata", "deleted")
 
@@ -34,6 +37,10 @@ class Collection:
     def healthy(self) -> bool:
         return self.config.healthy() and set(COLUMNS) <= set(self.rows.columns)
 
+    def close(self) -> int:
+        """Releases the intermediate results of this session's mutations; save what is to be kept before."""
+        return release(self.rows.sparkSession)
+
     def with_rows(self, rows: DataFrame) -> Collection:
         return replace(self, rows=rows)
 
@@ -60,17 +67,37 @@ def prepare(df: DataFrame, config: CollectionConfig) -> DataFrame:
     df = df.withColumn("vector", checked)
     if config.distance == "cosine":
         df = df.withColumn("vector", l2_normalize(F.col("vector")))
-    if config.metadata_max_bytes is not None:
-        df = df.withColumn("metadata", truncated_utf8(F.col("metadata"), config.metadata_max_bytes))
-    return promote(df, config)
+    return promote(df.withColumn("metadata", stored_metadata(F.col("metadata"), config)), config)
+
+
+def stored_metadata(text: Column, config: CollectionConfig) -> Column:
+    """Metadata as every write keeps it: cut at the limit of bytes, if there is one."""
+    return text if config.metadata_max_bytes is None else truncated_utf8(text, config.metadata_max_bytes)
 
 
 def promote(df: DataFrame, config: CollectionConfig) -> DataFrame:
     """Indexed fields as columns, from the metadata's JSON; equality on them reaches the Parquet scan."""
     if not config.indexed:
         return df
-    item = F.from_json("metadata", ", ".join(f"`{n}` {t}" for n, t in config.indexed.items()))
-    return df.withColumn("__item", item).withColumns({n: F.col(f"__item.{n}") for n in config.indexed}).drop("__item")
+    top = {n: t for n, t in config.indexed.items() if n not in config.paths}
+    found = {n: F.get_json_object("metadata", path).cast(config.indexed[n]) for n, path in config.paths.items()}
+    if top:
+        item = F.from_json("metadata", ", ".join(f"`{n}` {t}" for n, t in top.items()))
+        found |= {n: item[n] for n in top}
+    return df.withColumns(found)
+
+
+def opaque(function, *names: str) -> Column:
+    """A predicate from a Python function of the values of some columns (``metadata`` if none are named).
+
+    It runs on Arrow batches; no index can answer it, so it belongs after cheaper predicates.
+    """
+
+    @F.pandas_udf("boolean")
+    def matches(*columns: pd.Series) -> pd.Series:
+        return pd.Series([bool(function(*values)) for values in zip(*columns, strict=True)], dtype="bool")
+
+    return matches(*[F.col(n) for n in names or ("metadata",)])
 
 
 def where_rows(rows: DataFrame, predicate: Column, max_results: int = 100, order: str = "ord") -> DataFrame:
@@ -96,13 +123,25 @@ def first_match(collection: Collection, predicate: Column) -> DataFrame:
     return where(collection, predicate, 1)
 
 
-def inverted_index(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(field, value, n, lowest) of every value of the fields; null values have no entry."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
-    return rows.select("ord", pairs.alias("p")).where("p.value is not null").groupBy("p.field", "p.value").agg(F.count("*").alias("n"), F.min("ord").alias("lowest"))
+def postings(rows: DataFrame, fields: Sequence[str] | Mapping[str, Column]) -> DataFrame:
+    """One row per (field, value, ord), which no hot value can overflow; null values have none.
+
+    ``fields`` are names of columns, or extractors by name: columns over the row, of which an array gives several values.
+    """
+    named = dict(fields) if isinstance(fields, Mapping) else {f: F.col(f) for f in fields}
+    kinds = rows.select(*[c.alias(f"f{k}") for k, c in enumerate(named.values())]).schema.fields
+    pairs = []
+    for (name, column), kind in zip(named.items(), kinds, strict=True):
+        values = column if isinstance(kind.dataType, T.ArrayType) else F.array(column)
+        pairs.append(F.transform(values, _posting(name)))
+    every = F.flatten(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
+    return rows.select("ord", F.explode(F.array_distinct(every)).alias("p")).where("p.value is not null").select("p.field", "p.value", "ord")
+
+
+def _posting(name: str):
+    return lambda value: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"))
 
 
-def postings(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row per (field, value, ord), which no hot value can overflow."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
-    return rows.select("ord", pairs.alias("p")).where("p.value is not null").select("p.field", "p.value", "ord")
+def inverted_index(rows: DataFrame, fields: Sequence[str] | Mapping[str, Column]) -> DataFrame:
+    """(field, value, n, lowest): of every posting list its length and first ordinal."""
+    return postings(rows, fields).groupBy("field", "value").agg(F.count("*").alias("n"), F.min("ord").alias("lowest"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settled
-from .collection import Collection, prepare, promote
+from .collection import Collection, prepare, promote, stored_metadata
+from .search import partition_of
 
 
 def first_of_batch(batch: DataFrame, order: str = "batch_ord") -> DataFrame:
-    """Of rows with the same id the first by ``order``."""
-    window = Window.partitionBy("id").orderBy(order)
+    """Of rows with the same id the first by ``order``; of equals the least metadata, then vector."""
+    window = Window.partitionBy("id").orderBy(order, "metadata", "vector")
     return batch.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
 
 
@@ -49,12 +50,22 @@ def insert(collection: Collection, batch: DataFrame, order: str = "batch_ord") -
 
     Raises when more rows than ``max_count`` would be allocated; a batch of known ids never does.
     """
-    fresh = new_rows(collection, batch, order)
-    limit = collection.config.max_count
-    if limit is not None and collection.rows.count() + fresh.count() > limit:
+    return collection.with_rows(collection.rows.unionByName(appended(collection, batch, order), allowMissingColumns=True))
+
+
+def appended(collection: Collection, batch: DataFrame, order: str = "batch_ord") -> DataFrame:
+    """The rows that ``insert`` adds, ready to be stored; with a ``partition_size``, each has its part."""
+    config = collection.config
+    fresh = numbered(new_rows(collection, batch, order), next_ord(collection), order).drop(order).withColumn("deleted", F.lit(False))
+    if config.max_count is not None and collection.rows.count() + fresh.count() > config.max_count:
         raise ValueError("the collection is full")
-    fresh = numbered(fresh, next_ord(collection), order).drop(order).withColumn("deleted", F.lit(False))
-    return collection.with_rows(collection.rows.unionByName(prepare(fresh, collection.config), allowMissingColumns=True))
+    return with_part(prepare(fresh, config), collection)
+
+
+def with_part(rows: DataFrame, collection: Collection) -> DataFrame:
+    """Adds the part that each row belongs to, where the collection has parts: a full part is followed by a new one."""
+    size = collection.config.partition_size
+    return rows if size is None else rows.withColumn("part", partition_of(size))
 
 
 def delete(collection: Collection, ids: DataFrame) -> Collection:
@@ -77,7 +88,8 @@ def update_metadata(collection: Collection, updates: DataFrame) -> Collection:
     """
     new = _one_each(updates, "metadata").select("id", F.col("metadata").alias("__new"))
     rows = collection.rows.join(new, "id", "left")
-    rows = rows.withColumn("metadata", F.when(~F.col("deleted") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("metadata"))).drop("__new")
+    new = stored_metadata(F.col("__new"), collection.config)
+    rows = rows.withColumn("metadata", F.when(~F.col("deleted") & F.col("__new").isNotNull(), new).otherwise(F.col("metadata"))).drop("__new")
     return collection.with_rows(promote(rows, collection.config).select(*collection.rows.columns))
 
 
@@ -92,18 +104,19 @@ def update(collection: Collection, updates: DataFrame) -> Collection:
     both = collection.rows.join(new, "id", "left")
     moved = ~F.col("deleted") & F.col("__vector").isNotNull()
     touched = ~F.col("deleted") & F.col("__metadata").isNotNull()
-    kept = both.withColumns({"deleted": F.col("deleted") | moved, "metadata": F.when(touched & ~moved, F.col("__metadata")).otherwise(F.col("metadata"))})
+    kept = both.withColumns({"deleted": F.col("deleted") | moved, "metadata": F.when(touched & ~moved, stored_metadata(F.col("__metadata"), collection.config)).otherwise(F.col("metadata"))})
     added = both.where(moved).select("id", F.col("ord").alias("__old"), F.col("__vector").alias("vector"), F.coalesce("__metadata", "metadata").alias("metadata"), F.lit(False).alias("deleted"))
     added = numbered(added, next_ord(collection), "__old").drop("__old")
     columns = collection.rows.columns
     kept = promote(kept.drop("__vector", "__metadata"), collection.config).select(*columns)
-    return collection.with_rows(kept.unionByName(prepare(added, collection.config).select(*columns)))
+    added = with_part(prepare(added, collection.config), collection)
+    return collection.with_rows(kept.unionByName(added.select(*columns)))
 
 
 def vacuum(collection: Collection) -> Collection:
     """Live rows only, numbered anew without gaps."""
     live = collection.live().withColumnRenamed("ord", "__old")
-    return collection.with_rows(numbered(live, 0, "__old").drop("__old").select(*collection.rows.columns))
+    return collection.with_rows(with_part(numbered(live, 0, "__old").drop("__old"), collection).select(*collection.rows.columns))
 
 
 def latest_by_id(rows: DataFrame) -> DataFrame:

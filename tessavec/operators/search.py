@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,12 @@ def _packed(rows: DataFrame, key: str, per_block: int, dim: int, name: str) -> t
     blocks = max(1, -(-rows.count() // per_block))
 
     def pack(table: pa.Table) -> pa.Table:
-        x = np.array(table.column("v").to_pylist(), "<f8").reshape(table.num_rows, -1)
+        v = table.column("v").combine_chunks()
+        if v.null_count or len(v.values) != dim * len(v) or set(pc.list_value_length(v).to_pylist()) - {dim}:
+            raise ValueError(f"every vector needs {dim} components")
+        x = v.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+        if not np.isfinite(x).all():
+            raise ValueError("every vector needs finite components")
         return pa.table({name: pa.array([table.column(name)[0].as_py()], pa.int32()), "ids": pa.array([table.column("key").to_numpy().astype("<i8").tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
 
     dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(name), F.col(key).cast("long").alias("key"), F.col("vector").cast("array<double>").alias("v"))

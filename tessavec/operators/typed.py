@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vector import checked_query
 from ..plans.predicate import Predicate, lookups
+from . import mutate
 from .collection import Collection, where_rows
 from .search import exact_topk, hybrid_post
 
@@ -51,6 +53,7 @@ class TypedCollection:
     def search(self, query: Sequence[float], predicate: Predicate | None = None, k: int = 5, ef: int = 50, mode: str | None = None) -> DataFrame:
         """(id, score, item). Without ``mode``: exact over the matching rows if indexed fields answer, else a filtered beam."""
         rows, distance = self.rows(), self.collection.config.distance
+        query = checked_query(query, self.collection.config.dim)
         if predicate is None:
             found = exact_topk(rows, query, k, None, distance)
         elif (mode or self.mode(predicate)) == "pre":
@@ -60,5 +63,29 @@ class TypedCollection:
         return found.select("id", "score", "item")
 
 
+    def _with(self, collection: Collection) -> TypedCollection:
+        return replace(self, collection=collection)
+
+    def add(self, items: DataFrame, order: str = "batch_ord") -> TypedCollection:
+        """Inserts (id, vector, item, ``order``): the item becomes the metadata, and indexed fields follow. A null id gets a random one."""
+        batch = _as_metadata(items).withColumn("id", F.coalesce("id", F.uuid()))
+        return self._with(mutate.insert(self.collection, batch, order))
+
+    def update(self, items: DataFrame) -> TypedCollection:
+        """New vectors and items of live rows (id, vector, item; null: as before); unknown ids change nothing."""
+        return self._with(mutate.update(self.collection, _as_metadata(items)))
+
+    def update_items(self, items: DataFrame) -> TypedCollection:
+        """New items of live rows (id, item); vectors and ordinals stay."""
+        return self._with(mutate.update_metadata(self.collection, _as_metadata(items)))
+
+    def delete(self, ids: DataFrame) -> TypedCollection:
+        return self._with(mutate.delete(self.collection, ids))
+
+
+def _as_metadata(items: DataFrame) -> DataFrame:
+    return items.withColumn("metadata", F.when(F.col("item").isNotNull(), serialize(F.col("item")))).drop("item")
+
+
 def serialize(item: Column) -> Column:
     return F.to_json(item)

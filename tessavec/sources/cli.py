@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 from ..config import CollectionConfig
-from ..operators.mutate import insert
+from ..functions.vector import checked_query
 from ..operators.search import exact_topk
-from .store import create, load, save
+from .store import append, create, load
 
 
 def parse_vector(text: str) -> list[float]:
@@ -37,11 +37,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> li
         said.append(f"created {given.path}")
     elif given.command == "add":
         batch = spark.createDataFrame([(given.id or str(uuid.uuid4()), given.vector, given.metadata, 0)], "id string, vector array<float>, metadata string, batch_ord long")
-        save(insert(load(spark, given.path), batch), given.path)
+        append(spark, given.path, batch)
         said.append("added")
     else:
         found = load(spark, given.path)
-        rows = exact_topk(found.live(), given.vector, given.top, None, found.config.distance).select("id", "score", "metadata").collect()  # --top rows
+        rows = exact_topk(found.live(), checked_query(given.vector, found.config.dim), given.top, None, found.config.distance).select("id", "score", "metadata").collect()  # --top rows
         said += [f"ID: {r.id}, Score: {r.score:.4f}, Meta: {r.metadata}" for r in rows]
     print("\n".join(said))
     return said

@@ -1,6 +1,8 @@
 """Edge cases of the engine: ties, bad vectors, duplicates, deletions, cut metadata, null JSON, storage, streams."""
 
 import itertools
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +10,12 @@ from pyspark.sql import functions as F
 from tessavec.config import CollectionConfig
 from tessavec.functions.vector import truncated_utf8
 from tessavec.operators import ann, graph, mutate, search
-from tessavec.operators.collection import Collection, empty_id_filled, from_rows, where_indexed
+from tessavec.operators.collection import Collection, empty_id_filled, from_rows, opaque, postings, where_indexed
 from tessavec.operators.typed import TypedCollection
 from tessavec.plans.predicate import field, lookups
 from tessavec.sources import cli
+from tessavec.sources import store
+from tessavec.sources.shared import release
 from tessavec.sources.store import create, load, save
 from tessavec.streaming.ingest import ingest
 
@@ -177,3 +181,114 @@ def test_stream(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     assert sorted((r.id, r.metadata) for r in load(spark, path).live().collect()) == [("a", "1"), ("b", "3")]
+
+
+def test_wrong_query_vectors_raise(spark, small):
+    for bad in ([1.0, float("nan")], [], [float("inf"), 0.0], [None, 1.0]):
+        with pytest.raises(ValueError, match="finite components"):
+            search.exact_topk(small.live(), bad, 1)
+    with pytest.raises(Exception, match="another length"):
+        search.exact_topk(small.live(), [1.0, 0.0, 0.0], 1).collect()
+    with pytest.raises(ValueError, match="needs 2 components"):
+        TypedCollection(small, "k int").search([1.0])
+    with pytest.raises(Exception, match="2 components"):
+        search.batch_topk(spark.createDataFrame([(0, [1.0])], "qid long, vector array<float>"), small.live(), 1, 2).collect()
+    with pytest.raises(ValueError, match="distance"):
+        search.exact_topk(small.live(), [1.0, 0.0], 1, None, "other")
+
+
+def test_every_write_cuts_metadata(spark, small):
+    c = Collection(small.rows, CollectionConfig(2, metadata_max_bytes=8))
+    new = spark.createDataFrame([("a", [5.0, 5.0], "é" * 10, 0), ("b", None, "x" * 20, 1), ("n", [1.0, 1.0], "y" * 20, 2)], BATCH)
+    assert {r.id: r.metadata for r in mutate.update(c, new).live().collect()} == {"a": "éééé", "b": "x" * 8, "c": "{}", "d": "null"}
+    assert {r.metadata for r in mutate.update_metadata(c, new.where("id <> 'n'")).live().where("id in ('a', 'b')").collect()} == {"éééé", "x" * 8}
+    assert mutate.insert(c, new).live().where("id = 'n'").first().metadata == "y" * 8
+
+
+def test_typed_mutations(spark, small):
+    config = CollectionConfig(2, indexed={"k": "int", "maker": "string"}, paths={"maker": "$.by.name"})
+    c = TypedCollection(from_rows(small.rows, config), "k int, by struct<name: string>", ("k", "maker"))
+    items = "id string, vector array<float>, item struct<k: int, by: struct<name: string>>, batch_ord long"
+    more = c.add(spark.createDataFrame([("n", [1.0, 1.0], (7, ("m",)), 0), (None, [3.0, 0.0], (7, None), 1)], items))
+    assert len(more.where(field("k") == 7).collect()) == 2 and ids(more.where(field("maker") == "m")) == ["n"]
+    assert more.mode(field("maker") == "m") == "pre"
+    new = more.update(spark.createDataFrame([("n", [0.0, 9.0], (8, None), 0), ("a", None, (9, ("m",)), 1), ("b", [4.0, 4.0], None, 2)], items))
+    found = {r.id: (r.item.k, r.score) for r in new.search([0.0, 1.0], k=3).collect()}
+    assert found == {"n": (8, 9.0), "b": (2, 4.0), "a": (9, 0.0)} or found["n"] == (8, 9.0) and found["b"] == (2, 4.0)
+    assert ids(new.where(field("k") == 7)) != ["n"] and ids(new.where(field("maker") == "m")) == ["a"]
+    items_only = new.update_items(spark.createDataFrame([("n", (1, None))], "id string, item struct<k: int, by: struct<name: string>>"))
+    assert "n" in ids(items_only.where(field("k") == 1))
+    assert "n" not in ids(items_only.delete(spark.createDataFrame([("n",)], "id string")).where(field("k") >= 0))
+
+
+def test_postings_and_python_predicates(spark):
+    rows = spark.createDataFrame([(0, "x", ["a", "b", None, "a"], "m0"), (1, None, None, "m1"), (2, "x", [], "m2")], "ord long, kind string, tags array<string>, metadata string")
+    want = [("kind", "x", 0), ("kind", "x", 2), ("tag", "a", 0), ("tag", "b", 0)]
+    assert sorted(map(tuple, postings(rows, {"kind": F.col("kind"), "tag": F.col("tags")}).collect())) == want
+    assert [r.ord for r in rows.where(opaque(lambda m: m.endswith("1"))).collect()] == [1]
+    assert [r.ord for r in rows.where(opaque(lambda k, o: k == "x" and o > 0, "kind", "ord")).collect()] == [2]
+
+
+def test_release_removes_what_mutations_kept(spark, small):
+    release(spark)
+    c = mutate.insert(small, spark.createDataFrame([("n", [1.0, 1.0], "m", 0)], BATCH))
+    assert c.rows.count() == 6
+    assert c.close() == 1 and release(spark) == 0
+
+
+def test_appends_write_their_own_rows_only(spark, tmp_path):
+    path = f"{tmp_path}/c"
+    create(spark, path, CollectionConfig(2, partition_size=2, max_count=6))
+    with pytest.raises(FileExistsError):
+        create(spark, path, CollectionConfig(2))
+    batch = lambda *names: spark.createDataFrame([(n, [1.0, 0.0], n, k) for k, n in enumerate(names)], BATCH)
+    store.append(spark, path, batch("a", "b", "c"))
+    before = load(spark, path)
+    store.append(spark, path, batch("b", "d", "e"))
+    version = store.read_version(spark, path)
+    assert spark.read.parquet(f"{path}/{version.data[-1]}").count() == 2
+    assert sorted((r.ord, r.id, r.part) for r in load(spark, path).rows.collect()) == [(0, "a", 0), (1, "b", 0), (2, "c", 1), (3, "d", 1), (4, "e", 2)]
+    store.delete(spark, path, batch("a", "zz"))
+    assert sorted(ids(load(spark, path).live())) == ["b", "c", "d", "e"] and sorted(ids(load(spark, path, 2).live())) == ["a", "b", "c", "d", "e"]
+    assert sorted(ids(before.rows)) == ["a", "b", "c"]  # an open reader keeps its version
+    store.append(spark, path, batch("a"))
+    with pytest.raises(ValueError, match="full"):
+        store.append(spark, path, batch("f"))
+    store.compact(spark, path)
+    assert len(store.clean(spark, path, 1, 0)) == 4 and len(store.versions(spark, path)) == 1
+    assert sorted((r.ord, r.id) for r in load(spark, path).live().collect()) == [(1, "b"), (2, "c"), (3, "d"), (4, "e"), (5, "a")]
+
+
+def test_writers_at_once_lose_nothing_and_readers_never_fail(spark, tmp_path):
+    path, rounds = f"{tmp_path}/c", 4
+    create(spark, path, CollectionConfig(2))
+    seen: list[int] = []
+    done = threading.Event()
+
+    def write(who):
+        for k in range(rounds):
+            store.append(spark, path, spark.createDataFrame([(f"{who}{k}", [1.0, 0.0], "m", 0)], BATCH))
+
+    def read():
+        while not done.is_set():
+            seen.append(load(spark, path).rows.count())
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, "xy"))
+    done.set()
+    reader.join()
+    rows = load(spark, path).rows.collect()
+    assert sorted(r.id for r in rows) == sorted(f"{w}{k}" for w in "xy" for k in range(rounds))
+    assert sorted(r.ord for r in rows) == list(range(2 * rounds)) and seen == sorted(seen)
+
+
+def test_stored_collection_of_parts_answers_by_part(spark, tmp_path):
+    path = f"{tmp_path}/p"
+    create(spark, path, CollectionConfig(1, partition_size=10))
+    store.append(spark, path, spark.createDataFrame([(str(i), [float(i % 10)], "m", i) for i in range(35)], BATCH))
+    got = load(spark, path)
+    assert {(r.part, r["count"]) for r in got.rows.groupBy("part").count().collect()} == {(0, 10), (1, 10), (2, 10), (3, 5)}
+    assert "part" in str(got.rows.where("part = 3")._jdf.queryExecution().executedPlan()) and got.rows.where("part = 3").count() == 5
+    assert [(r.part, r.ord) for r in search.partitioned_topk(got.live(), [1.0], 3, 10).collect()] == [(0, 9), (1, 19), (2, 29)]
