@@ -1,97 +1,309 @@
-"""Approximate search: a beam over the exact neighbour graph, one block of queries at a time.
+"""Approximate search over a layered neighbour graph that is built once, stored and descended.
 
-The graph and vectors of a shard go to one task; shards have a bounded number of rows, and each answers all
-queries, so the index works on any number of rows. Exact search is the default elsewhere; this is opt-in.
+Rows are dealt into cells around centroids, which are fitted on a bounded sample, and cells into shards of bounded size.
+Each shard is one row: its ordinals, levels, vectors and, for every level, an adjacency list of ``m`` places. A query goes
+to the shards of the cells nearest to it, climbs greedily from the entry point of the top level down to level 1, and
+searches level 0 with a beam. Exact search is the default elsewhere; this is opt-in.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import SCORE_DIGITS
+from ..sources.shared import file_system, settled
+from .graph import level_of
 
+_SHARD = "shard int, cell int, n long, ords binary, levels binary, dead binary, x binary, links binary"
+_NAMES = ("shard", "cell", "n", "ords", "levels", "dead", "x", "links")
+#: Cells and rows of the sample that their centroids are fitted on, at most.
+MOST_CELLS, SAMPLE = 1024, 20_000
 
-def greedy(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: int) -> int:
-    """Climbs to a node that none of its neighbours beats."""
-    at, best = entry, float(x[entry] @ q)
-    while True:
-        around = links[at][links[at] >= 0]
-        if not len(around):
-            return at
-        s = x[around] @ q
-        k = int(s.argmax())
-        if s[k] <= best:
-            return at
-        at, best = int(around[k]), float(s[k])
-
-
-def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: int, ef: int) -> list[tuple[float, int]]:
-    """The ``ef`` best nodes that the beam reaches, best first."""
-    start = float(x[entry] @ q)
-    todo, found, seen = [(-start, entry)], [(start, -entry)], {entry}
-    while todo:
-        s, node = heapq.heappop(todo)
-        if len(found) >= ef and -s < found[0][0]:
-            break
-        new = [int(n) for n in links[node] if n >= 0 and n not in seen]
-        seen.update(new)
-        for n, t in zip(new, (x[new] @ q).tolist() if new else [], strict=True):
-            if len(found) < ef or t > found[0][0]:
-                heapq.heappush(todo, (-t, n))
-                heapq.heappush(found, (t, -n))
-                if len(found) > ef:
-                    heapq.heappop(found)
-    return sorted(((round(s, SCORE_DIGITS), -n) for s, n in found), key=lambda p: (-p[0], p[1]))
-
-
-def build_links(x: np.ndarray, m: int) -> np.ndarray:
-    """Exact ``m`` nearest neighbours of every row and the back links of those, -1 where there are fewer."""
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    near = np.argsort(-s, axis=1, kind="stable")[:, : min(m, len(x) - 1)]
-    lists = [set(r) for r in near.tolist()]
-    for a, r in enumerate(near.tolist()):
-        for b in r:
-            if len(lists[b]) < 2 * m:
-                lists[b].add(a)
-    links = np.full((len(x), 2 * m), -1, np.int64)
-    for a, r in enumerate(lists):
-        links[a, : len(r)] = sorted(r)[: 2 * m]
-    return links
-
-
-def ann_topk(queries: DataFrame, base: DataFrame, k: int, ef: int = 50, m: int = 32, shard: int = 4096, query_block: int = 1024) -> DataFrame:
-    """(qid, ord, score, rank): a beam of max(k, ef) over every shard's graph, and the best ``k`` of all shards."""
-    shards = max(1, -(-base.count() // shard))
-    blocks = max(1, -(-queries.count() // query_block))
-    vectors = base.select(F.pmod(F.xxhash64("ord"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("ord").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("v"), F.lit(False).alias("asks"))
-    asking = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), F.col("qid").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("v"), F.lit(True).alias("asks"))
-
-    def answer(table: pa.Table) -> pa.Table:
-        asks, keys = table.column("asks").to_numpy(zero_copy_only=False), table.column("key").to_numpy()
-        v = np.array(table.column("v").to_pylist(), float)
-        order = np.flatnonzero(~asks)[np.argsort(keys[~asks], kind="stable")]
+
+@dataclass(frozen=True)
+class LayeredIndex:
+    """``shards``: one row a shard. ``centroids``: of the cells. At most ``m`` neighbours a node and level."""
+
+    shards: DataFrame
+    centroids: np.ndarray
+    m: int
+    levels: int
+
+    def save(self, path: str) -> None:
+        """Writes the shards and what belongs to them into a new folder."""
+        spark = self.shards.sparkSession
+        self.shards.write.parquet(f"{path}/shards")
+        about = {"m": self.m, "levels": self.levels, "centroids": self.centroids.tolist()}
+        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.parquet(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LayeredIndex:
+        about = json.loads(spark.read.schema("about string").parquet(f"{path}/about").first()[0])
+        shards = spark.read.schema(_SHARD).parquet(f"{path}/shards")
+        return LayeredIndex(shards, np.array(about["centroids"], float), about["m"], about["levels"])
+
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        fs, at = file_system(spark, f"{path}/about/_SUCCESS")
+        return fs.exists(at)
+
+    def neighbours(self) -> DataFrame:
+        """(shard, level, src, rank, dst) of all edges; rank 1 is the nearest."""
+        levels = self.levels
+
+        def run(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    g = _Graph(r, levels)
+                    level, src, place = np.nonzero(g.links >= 0)
+                    columns = (np.full(len(src), r["shard"], np.int32), level.astype(np.int32), g.ords[src], (place + 1).astype(np.int32), g.ords[g.links[level, src, place]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "level", "src", "rank", "dst"])
+
+        return self.shards.mapInArrow(run, "shard int, level int, src long, rank int, dst long")
+
+    def nodes(self) -> DataFrame:
+        """(shard, ord, level, dead) of all nodes."""
+        levels = self.levels
+
+        def run(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    g = _Graph(r, levels)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g.ords), r["shard"], np.int32)), pa.array(g.ords), pa.array(g.levels), pa.array(g.dead)], names=["shard", "ord", "level", "dead"])
+
+        return self.shards.mapInArrow(run, "shard int, ord long, level int, dead boolean")
+
+    def stats(self) -> DataFrame:
+        """(level, nodes): live nodes that have neighbours there; at level 0 all live ones."""
+        levels = self.levels
+
+        def run(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    g = _Graph(r, levels)
+                    linked = (g.links[:, :, 0] >= 0) & ~g.dead
+                    counts = [int((~g.dead).sum()), *linked[1:].sum(axis=1).tolist()]
+                    yield pa.RecordBatch.from_pydict({"level": pa.array(range(levels), pa.int32()), "nodes": pa.array(counts, pa.int64())})
+
+        return self.shards.mapInArrow(run, "level int, nodes long").groupBy("level").agg(F.sum("nodes").alias("nodes"))
+
+    def unlinked(self, gone: DataFrame) -> LayeredIndex:
+        """The index without the nodes ``gone`` (column ord): they are neither returned nor passed through any more."""
+        levels = self.levels
+        where = self.nodes().join(gone.select("ord").distinct(), "ord").select(F.col("shard").alias("in_shard"), "ord")
+
+        def bury(shard: pa.Table, dead: pa.Table) -> pa.Table:
+            if not shard.num_rows or not dead.num_rows:
+                return shard
+            g = _Graph({c: shard.column(c)[0].as_py() for c in _NAMES}, levels)
+            g.dead = g.dead | np.isin(g.ords, dead.column("ord").to_numpy())
+            g.links[np.isin(g.links, np.flatnonzero(g.dead))] = -1
+            g.links[:, g.dead] = -1
+            g.links = np.take_along_axis(g.links, np.argsort(g.links < 0, axis=2, kind="stable"), axis=2)
+            return g.table(shard.column("shard")[0].as_py(), shard.column("cell")[0].as_py())
+
+        shards = self.shards.groupBy("shard").cogroup(where.groupBy("in_shard")).applyInArrow(bury, _SHARD)
+        return LayeredIndex(settled(shards), self.centroids, self.m, self.levels)
+
+
+class _Graph:
+    """A shard in memory: ``links[level, node]`` are the places of its neighbours, nearest first, then -1."""
+
+    def __init__(self, row: dict, levels: int) -> None:
+        read = lambda c, kind: np.frombuffer(row[c], kind)
+        self.ords, self.levels, self.dead = read("ords", "<i8"), read("levels", "<i4"), read("dead", "u1").astype(bool)
+        n = len(self.ords)
+        self.x, self.links = read("x", "<f8").reshape(n, -1), read("links", "<i4").reshape(levels, n, -1).copy()
+        live = np.flatnonzero(~self.dead)
+        self.entry = int(live[np.lexsort((self.ords[live], -self.levels[live]))[0]]) if len(live) else -1
+        self.scored = 0
+
+    def table(self, shard: int, cell: int) -> pa.Table:
+        packed = [self.ords.astype("<i8"), self.levels.astype("<i4"), self.dead.astype("u1"), self.x.astype("<f8"), self.links.astype("<i4")]
+        head = [pa.array([shard], pa.int32()), pa.array([cell], pa.int32()), pa.array([len(self.ords)], pa.int64())]
+        return pa.Table.from_arrays([*head, *[pa.array([p.tobytes()], pa.binary()) for p in packed]], names=list(_NAMES))
+
+    def scores(self, q: np.ndarray, nodes) -> np.ndarray:
+        self.scored += len(nodes)
+        return self.x[nodes] @ q
+
+    def greedy(self, q: np.ndarray, level: int, at: int) -> int:
+        """Climbs to a node that none of its neighbours of the level beats."""
+        best = float(self.scores(q, [at])[0])
+        while True:
+            around = self.links[level, at]
+            around = around[around >= 0]
+            if not len(around):
+                return at
+            s = self.scores(q, around)
+            k = int(s.argmax())
+            if s[k] <= best:
+                return at
+            at, best = int(around[k]), float(s[k])
+
+    def beam(self, q: np.ndarray, at: int, ef: int) -> list[tuple[float, int]]:
+        """The ``ef`` best (score, ordinal) that a beam from ``at`` reaches at level 0, best first."""
+        start = float(self.scores(q, [at])[0])
+        todo, found, seen = [(-start, at)], [(start, -at)], {at}
+        while todo:
+            s, node = heapq.heappop(todo)
+            if len(found) >= ef and -s < found[0][0]:
+                break
+            new = [n for n in self.links[0, node].tolist() if n >= 0 and n not in seen]
+            if not new:
+                continue
+            seen.update(new)
+            for n, t in zip(new, self.scores(q, new).tolist(), strict=True):
+                if len(found) < ef or t > found[0][0]:
+                    heapq.heappush(todo, (-t, n))
+                    heapq.heappush(found, (t, -n))
+                    if len(found) > ef:
+                        heapq.heappop(found)
+        ranked = ((round(s, SCORE_DIGITS), int(self.ords[-n])) for s, n in found)
+        return sorted(ranked, key=lambda p: (-p[0], p[1]))
+
+    def search(self, q: np.ndarray, ef: int) -> list[tuple[float, int]]:
+        if self.entry < 0:
+            return []
+        at = self.entry
+        for level in range(int(self.levels[at]), 0, -1):
+            at = self.greedy(q, level, at)
+        return self.beam(q, at, ef)
+
+
+def link(x: np.ndarray, m: int, block: int = 1024) -> np.ndarray:
+    """Places of at most ``m`` neighbours of each row, best first: its ``m`` nearest and those it is nearest to, evicting the worst."""
+    n, near = len(x), min(m, len(x) - 1)
+    out = np.full((n, m), -1, np.int32)
+    if near < 1:
+        return out
+    top, score = np.empty((n, near), np.int64), np.empty((n, near))
+    for a in range(0, n, block):
+        s = x[a : a + block] @ x.T
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
+        part = np.argpartition(-s, near - 1, axis=1)[:, :near]
+        top[a : a + block], score[a : a + block] = part, np.take_along_axis(s, part, axis=1)
+    src, dst, s = np.repeat(np.arange(n), near), top.ravel(), score.ravel()
+    src, dst, s = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([s, s])
+    _, once = np.unique(src * n + dst, return_index=True)
+    src, dst, s = src[once], dst[once], s[once]
+    order = np.lexsort((dst, -s, src))
+    src, dst = src[order], dst[order]
+    place = np.arange(len(src)) - np.searchsorted(src, src)
+    keep = place < m
+    out[src[keep], place[keep]] = dst[keep]
+    return out
+
+
+def _centroids(rows: DataFrame, n: int, cells: int) -> np.ndarray:
+    """Means of the cells' vectors over a sample of at most about ``SAMPLE`` rows, after a few rounds of reassignment."""
+    step = max(1, n // SAMPLE)
+    sample = rows.where(F.pmod(F.xxhash64("ord"), F.lit(step)) == 0).select(F.col("vector").cast("array<double>")).limit(2 * SAMPLE)
+    x = np.array([r[0] for r in sample.collect()], float)
+    centres = x[np.linspace(0, len(x) - 1, cells).astype(int)]
+    for _ in range(6):
+        mine = (x @ centres.T - 0.5 * (centres * centres).sum(axis=1)).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, mine, x)
+        count = np.bincount(mine, minlength=len(centres))
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+    return centres
+
+
+def _cell_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x @ centres.T - 0.5 * (centres * centres).sum(axis=1)).argmax(axis=1)
+
+
+def build_index(rows: DataFrame, dim: int, m: int = 32, levels: int = 5, shard_rows: int = 16_384) -> LayeredIndex:
+    """Of rows (ord, id, vector): levels are drawn from the ids, and each level of a shard is linked on its own."""
+    n = rows.count()
+    if not n:
+        return LayeredIndex(rows.sparkSession.createDataFrame([], _SHARD), np.zeros((1, dim)), m, levels)
+    cells = min(MOST_CELLS, -(-n // shard_rows))
+    centres = _centroids(rows, n, cells) if cells > 1 else np.zeros((1, dim))
+
+    def deal(batches):
+        for batch in batches:
+            x = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_cell_of(x, centres).astype(np.int32))], names=["ord", "level", "v", "cell"])
+
+    plain = rows.select(F.col("ord").cast("long").alias("ord"), level_of(F.col("id"), m, levels).alias("level"), F.col("vector").cast("array<double>").alias("v"))
+    dealt = settled(plain.mapInArrow(deal, "ord long, level int, v array<double>, cell int")) if cells > 1 else plain.withColumn("cell", F.lit(0))
+    counts = {r.cell: r["count"] for r in dealt.groupBy("cell").count().collect()}  # at most MOST_CELLS
+    slices = [max(1, -(-counts.get(c, 0) // shard_rows)) for c in range(cells)]
+    first = np.concatenate([[0], np.cumsum(slices)]).tolist()
+    lookup = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cell") + 1)
+    shard = lookup(first[:-1]) + F.pmod(F.xxhash64("ord"), lookup(slices)).cast("int")
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("ord").to_numpy(), kind="stable")))
+        x = np.array(table.column("v").to_pylist(), float).reshape(table.num_rows, -1)
+        level = table.column("level").to_numpy()
+        links = np.full((levels, len(x), m), -1, np.int32)
+        for k in range(levels):
+            nodes = np.flatnonzero(level >= k)
+            found = link(x[nodes], m)
+            links[k, nodes] = np.where(found >= 0, nodes[found], -1)
+        row = {"ords": table.column("ord").to_numpy().tobytes(), "levels": level.astype("<i4").tobytes(), "dead": bytes(len(x)), "x": x.tobytes(), "links": links.tobytes()}
+        return _Graph(row, levels).table(table.column("shard")[0].as_py(), table.column("cell")[0].as_py())
+
+    shards = dealt.withColumn("shard", shard.cast("int")).groupBy("shard").applyInArrow(build, _SHARD)
+    return LayeredIndex(settled(shards), centres, m, levels)
+
+
+def ann_topk(queries: DataFrame, index: LayeredIndex, k: int, ef: int = 50, probes: int | None = None, query_block: int = 1024) -> DataFrame:
+    """(qid, ord, score, rank, scored): the best ``k`` that beams of max(k, ef) find in the shards of the nearest cells.
+
+    ``probes`` cells are asked (a quarter by default). ``scored`` counts the vectors compared with the query, over all its shards.
+    """
+    centres, levels = index.centroids, index.levels
+    cells = len(centres)
+    probes = max(1, min(cells, -(-cells // 4) if probes is None else probes))
+
+    def route(batches):
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            near = np.argsort(-(x @ centres.T - 0.5 * (centres * centres).sum(axis=1)), axis=1, kind="stable")[:, :probes]
+            row = np.repeat(np.arange(len(x)), near.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(near.ravel().astype(np.int32))], names=["qid", "v", "cell"])
+
+    asking = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("v"))
+    asked = asking.mapInArrow(route, "qid long, v array<double>, cell int").join(index.shards.select("shard", "cell"), "cell")
+    blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+    graphs = index.shards.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
+    asked = asked.select(F.col("shard").alias("to_shard"), F.col("block").alias("to_block"), "qid", "v")
+
+    def answer(shard: pa.Table, asks: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if len(order):
-            x, ids = v[order], keys[order]
-            links = build_links(x, m)
-            for q in np.flatnonzero(asks).tolist():
-                entry = greedy(x, links, v[q], 0)
-                out += [(int(keys[q]), int(ids[n]), s) for s, n in beam(x, links, v[q], entry, max(k, ef))[:k]]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"qid": pa.array(columns[0], pa.int64()), "ord": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    met = vectors.unionByName(asking).groupBy("shard", "block").applyInArrow(answer, "qid long, ord long, score double")
+        if shard.num_rows and asks.num_rows:
+            g = _Graph({c: shard.column(c)[0].as_py() for c in _NAMES}, levels)
+            for qid, v in zip(asks.column("qid").to_pylist(), asks.column("v").to_pylist(), strict=True):
+                g.scored = 0
+                best = g.search(np.array(v, float), max(k, ef))[: max(0, k)]
+                out += [(qid, o, s, g.scored) for s, o in best]
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["qid", "ord", "score", "in_shard"])
+
+    met = graphs.groupBy("shard", "block").cogroup(asked.groupBy("to_shard", "to_block")).applyInArrow(answer, "qid long, ord long, score double, in_shard long")
     window = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("ord").asc())
-    return met.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= max(0, k))
+    return met.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= max(0, k)).withColumnRenamed("in_shard", "scored")
+
+
+def hits(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(qid, hits, asked): how many of each query's true neighbours were found."""
+    hit = truth.select("qid", "ord").join(found.select("qid", "ord", F.lit(1).alias("hit")), ["qid", "ord"], "left")
+    return hit.groupBy("qid").agg(F.sum(F.coalesce("hit", F.lit(0))).cast("long").alias("hits"), F.count("*").alias("asked"))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of the true (qid, ord) that were found."""
-    hit = truth.select("qid", "ord").join(found.select("qid", "ord", F.lit(1).alias("hit")), ["qid", "ord"], "left")
-    return hit.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return hits(found, truth).agg((F.sum("hits") / F.sum("asked")).alias("recall"))

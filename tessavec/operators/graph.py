@@ -35,12 +35,6 @@ def entry_point(rows: DataFrame) -> DataFrame:
 
 
 def level_of(key, m: int, levels: int):
-    """A level drawn from the key's hash: P(level >= l) = m ** -l, at most levels - 1."""
-    u = (F.pmod(F.xxhash64(key), F.lit(1 << 53)).cast("double") + 1) / float(1 << 53)
+    """A level drawn from the MD5 of the key: P(level >= l) = m ** -l, at most levels - 1."""
+    u = (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
     return F.least(F.floor(-F.log(u) / F.lit(math.log(m))).cast("int"), F.lit(levels - 1))
-
-
-def graph_stats(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """(level, nodes): all live rows at level 0, and above those that have an edge there."""
-    base = rows.where(~F.col("deleted")).agg(F.count("*").alias("nodes")).select(F.lit(0).alias("level"), "nodes")
-    return base.unionByName(edges.where("level > 0").groupBy("level").agg(F.countDistinct("src").alias("nodes")))

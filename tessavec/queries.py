@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from .config import CollectionConfig
 from .functions.vector import l2_normalize, norm, score, truncated_utf8
 from .operators import ann, graph, mutate, search
-from .operators.collection import Collection, first_match, inverted_index, where, where_indexed
+from .operators.collection import Collection, first_match, inverted_index, opaque, postings, promote, where, where_indexed
 from .operators.typed import TypedCollection, serialize
 from .plans.predicate import field
+from .sources.shared import settled
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -187,23 +188,38 @@ def entry_point(spark, sf_dir):
     return graph.entry_point(_rows(spark, sf_dir))
 
 
-@query(f"""SELECT 0 AS level, count(*) AS nodes FROM embeddings WHERE vec_id % 7 <> 0
-UNION ALL SELECT 1, count(DISTINCT src) FROM ({_KNN}) WHERE src % 7 <> 0 AND dst % 7 <> 0 AND score > 0.5 HAVING count(*) > 0""")
-def graph_stats(spark, sf_dir):
-    edges = graph.without_nodes(_knn(spark, sf_dir), _rows(spark, sf_dir).where("deleted").select("ord"))
-    return graph.graph_stats(edges.where("score > 0.5").withColumn("level", F.lit(1)), _rows(spark, sf_dir))
+def _level(id_sql: str) -> str:
+    """The level of an id at 32 neighbours a node: drawn from the first 52 bits of its MD5."""
+    return f"least(floor(-ln((('0x' || substr(md5({id_sql}), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0) / ln(32)), 4)::INT"
 
 
-@query()
+@query(f"SELECT {_level('vec_id::VARCHAR')} AS level, count(*) AS nodes FROM embeddings GROUP BY 1")
 def level_histogram(spark, sf_dir):
     return _rows(spark, sf_dir).groupBy(graph.level_of(F.col("id"), 32, 5).alias("level")).agg(F.count("*").alias("nodes"))
 
 
-@query("SELECT true AS reached")
+@query(f"""WITH n AS (SELECT {_level('vec_id::VARCHAR')} AS top FROM embeddings WHERE vec_id % 7 <> 0),
+c AS (SELECT level, (SELECT count(*) FROM n WHERE top >= level) AS nodes FROM range(5) r(level))
+SELECT level::INT AS level, CASE WHEN level = 0 OR nodes > 1 THEN nodes ELSE 0 END AS nodes FROM c""")
+def graph_stats(spark, sf_dir):
+    """Of a layered index over the live rows: at level 0 all nodes, above it those that have neighbours."""
+    return ann.build_index(_rows(spark, sf_dir).where("not deleted"), DIM).stats()
+
+
+@query()
+def graph_neighbours(spark, sf_dir):
+    """All edges of a layered index from which the deleted rows were unlinked."""
+    index = ann.build_index(_rows(spark, sf_dir), DIM)
+    return index.unlinked(_rows(spark, sf_dir).where("deleted")).neighbours()
+
+
+@query()
 def ann_recall(spark, sf_dir):
+    """Of each query: its true neighbours among those that a layered index finds, and how many vectors it was compared with."""
     asking, rows = _asking(spark, sf_dir), _rows(spark, sf_dir)
-    found = ann.ann_topk(asking, rows, 5)
-    return ann.recall(found, search.batch_topk(asking, rows, 5, DIM)).select((F.col("recall") >= 0.9).alias("reached"))
+    found = settled(ann.ann_topk(asking, ann.build_index(rows, DIM, m=12), 5))
+    scored = found.groupBy("qid").agg(F.max("scored").alias("scored"))
+    return ann.hits(found, search.batch_topk(asking, rows, 5, DIM)).join(scored, "qid")
 
 
 def _events(spark, sf_dir) -> Collection:
@@ -292,6 +308,46 @@ def typed_roundtrip(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("key"), F.from_json("metadata", "brand string, size int, price double").alias("i")).select("key", "i.*")
 
 
+def _items(spark, sf_dir) -> TypedCollection:
+    """Of the events: k from the JSON and, as an indexed field, its parity."""
+    e = _events(spark, sf_dir).rows.select("ord", "id", F.array(F.col("ord").cast("float")).alias("vector"), "metadata", "deleted")
+    config = CollectionConfig(1, indexed={"k": "int"})
+    return TypedCollection(Collection(promote(e, config), config), "k int", ("k",))
+
+
+_IDS = "SELECT event_id::VARCHAR AS id, json_extract_string(props, '$.k')::INT AS k, event_id FROM events"
+
+
+@query(f"""SELECT id, k FROM ({_IDS}) WHERE k = 8 UNION ALL SELECT 'new' || id, 8 FROM ({_IDS}) WHERE event_id % 50 = 0""")
+def typed_add(spark, sf_dir):
+    """Added items are found by their indexed field; ids that are known already change nothing."""
+    c = _items(spark, sf_dir)
+    item = F.struct(F.lit(8).alias("k")).alias("item")
+    some = c.collection.rows.where(F.col("ord") % 50 == 0)
+    new = some.select(F.concat(F.lit("new"), "id").alias("id"), "vector", item, F.col("ord").alias("batch_ord"))
+    known = some.select("id", "vector", item, F.col("ord").alias("batch_ord"))
+    return c.add(new.unionByName(known)).where(field("k") == 8, 1 << 30).select("id", F.col("item.k").alias("k"))
+
+
+@query(f"""SELECT id, CASE WHEN event_id % 3 = 0 THEN k + 1000 ELSE k END AS k, CASE WHEN event_id % 6 = 0 THEN -1.0 ELSE event_id::DOUBLE END AS score
+FROM ({_IDS}) WHERE k > 20 OR event_id % 3 = 0""")
+def typed_update(spark, sf_dir):
+    """Every third item changes, and of those every second has a new vector too."""
+    c = _items(spark, sf_dir)
+    rows = c.rows().where(F.col("ord") % 3 == 0)
+    vector = F.when(F.col("ord") % 2 == 0, F.array(F.lit(-1.0).cast("float")))
+    new = rows.select("id", vector.alias("vector"), F.struct((F.col("item.k") + 1000).alias("k")).alias("item"))
+    return c.update(new).search([1.0], field("k") > 20, 1 << 30, mode="pre").select("id", F.col("item.k").alias("k"), "score")
+
+
+@query(f"SELECT id, k FROM ({_IDS}) WHERE k % 2 = 1 AND event_id % 4 <> 0")
+def typed_delete(spark, sf_dir):
+    """Deleted items are no longer found, here by a Python function of the item's field."""
+    c = _items(spark, sf_dir)
+    left = c.delete(c.collection.rows.where(F.col("ord") % 4 == 0).select("id"))
+    return left.rows().where(opaque(lambda k: k is not None and k % 2 == 1, "k")).select("id", "k")
+
+
 @query("SELECT page_id, octet_length(encode(html)) <= 512 AS whole, CASE WHEN octet_length(encode(html)) = length(html) THEN sha256(left(html, 512)) END AS ascii_sha256 FROM pages")
 def metadata_truncate(spark, sf_dir):
     """Texts of ASCII alone are cut alike by bytes and characters; the tests cover cut characters."""
@@ -321,6 +377,26 @@ def update_metadata(spark, sf_dir):
     return mutate.update_metadata(c, new).rows.select("ord", "label")
 
 
+@query("""SELECT vec_id AS ord, CASE WHEN vec_id % 7 = 0 OR vec_id % 3 <> 0 THEN '{"label":' || label || '}' ELSE left('vector ' || vec_id || ' of label ' || label, 12) END AS metadata FROM embeddings""")
+def update_truncated(spark, sf_dir):
+    """New metadata over the limit of 12 bytes is cut like that of an insert."""
+    rows = _rows(spark, sf_dir)
+    c = Collection(rows, CollectionConfig(DIM, metadata_max_bytes=12))
+    new = rows.where(F.col("ord") % 3 == 0).select("id", F.format_string("vector %d of label %d", "ord", "label").alias("metadata"))
+    return mutate.update_metadata(c, new).rows.select("ord", "metadata")
+
+
+@query("""SELECT vec_id AS ord, vec_id // 200 AS part FROM embeddings
+UNION ALL SELECT o, o // 200 FROM (SELECT (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY doc_id) AS o FROM documents)""")
+def partition_insert(spark, sf_dir):
+    """Rows go to the last part until it is full, then to a new one."""
+    rows, config = _rows(spark, sf_dir).drop("label"), CollectionConfig(DIM, partition_size=200)
+    c = mutate.with_part(rows, Collection(rows, config))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), DIM)
+    batch = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), zero.alias("vector"), F.col("lang").alias("metadata"), F.col("doc_id").alias("batch_ord"))
+    return mutate.insert(Collection(c, config), batch).rows.select("ord", "part")
+
+
 _MOVED = "SELECT (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY vec_id) AS ord, vec_id::VARCHAR AS id, {label} AS label, false AS deleted, round(-embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 7 <> 0"
 _KEPT = "SELECT vec_id AS ord, vec_id::VARCHAR AS id, {label} AS label, vec_id % 7 = 0 OR vec_id % 3 = 0 AS deleted, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings"
 
@@ -366,3 +442,10 @@ def sync_union(spark, sf_dir):
 @query("SELECT 'lang' AS field, lang AS value, count(*) AS n, min(doc_id) AS lowest FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*), min(doc_id) FROM documents WHERE source IS NOT NULL GROUP BY source", name="inverted_index")
 def inverted_index_fields(spark, sf_dir):
     return inverted_index(_docs(spark, sf_dir).rows, ("lang", "source"))
+
+
+@query("""SELECT 'lang' AS field, lang AS value, doc_id AS ord FROM documents WHERE lang IS NOT NULL
+UNION ALL SELECT DISTINCT 'word', w, doc_id FROM (SELECT doc_id, unnest(string_split(source, 'r')) AS w FROM documents) WHERE w IS NOT NULL""", name="postings")
+def postings_of(spark, sf_dir):
+    """The posting lists of a column and of an extractor that gives several values a row."""
+    return postings(_docs(spark, sf_dir).rows, {"lang": F.col("lang"), "word": F.split("source", "r")})

@@ -142,7 +142,6 @@ def test_batch_and_beam_agree_with_brute_force(spark):
     s = np.round(x[:40] @ x.T, 6)
     want = {(q, int(o)) for q in range(40) for o in np.argsort(-s[q], kind="stable")[:5]}
     assert {(r.qid, r.ord) for r in exact.collect()} == want
-    assert ann.recall(ann.ann_topk(asks, rows, 5, shard=128, query_block=16), exact).first().recall >= 0.9
     assert graph.knn_graph(rows, 3, 8).count() == 900
 
 
@@ -292,3 +291,30 @@ def test_stored_collection_of_parts_answers_by_part(spark, tmp_path):
     assert {(r.part, r["count"]) for r in got.rows.groupBy("part").count().collect()} == {(0, 10), (1, 10), (2, 10), (3, 5)}
     assert "part" in str(got.rows.where("part = 3")._jdf.queryExecution().executedPlan()) and got.rows.where("part = 3").count() == 5
     assert [(r.part, r.ord) for r in search.partitioned_topk(got.live(), [1.0], 3, 10).collect()] == [(0, 9), (1, 19), (2, 29)]
+
+
+def test_layered_index_is_built_once_stored_and_descended(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16)) + rng.normal(size=(12, 16))[rng.integers(0, 12, 3000)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, str(i), [float(v) for v in r]) for i, r in enumerate(x)], "ord long, id string, vector array<double>")
+    asks = rows.where("ord % 60 = 0").withColumnRenamed("ord", "qid")
+    exact = search.batch_topk(asks, rows, 5, 16).cache()
+    ann.build_index(rows, 16, m=12, shard_rows=500).save(f"{tmp_path}/index")
+    index = ann.LayeredIndex.load(spark, f"{tmp_path}/index")
+    assert ann.LayeredIndex.exists(spark, f"{tmp_path}/index") and index.shards.count() >= 6
+    found = ann.ann_topk(asks, index, 5, ef=40, probes=4, query_block=8).cache()
+    assert ann.recall(found, exact).first().recall >= 0.9
+    assert 0 < found.agg(F.max("scored")).first()[0] < 1500  # in one shard, of 3,000 rows
+    levels = {r.level: r["count"] for r in index.nodes().groupBy("level").count().collect()}
+    assert sum(levels.values()) == 3000 and 100 < sum(n for k, n in levels.items() if k) < 420
+    edges = index.neighbours().cache()
+    assert edges.groupBy("level", "src").count().agg(F.max("count")).first()[0] == 12 and edges.where("src = dst").count() == 0
+    gone = rows.where("ord % 2 = 0").select("ord")
+    left = index.unlinked(gone)
+    assert left.neighbours().where("src % 2 = 0 or dst % 2 = 0").count() == 0 and left.stats().where("level = 0").first().nodes == 1500
+    assert ann.ann_topk(asks, left, 5, ef=40, probes=4).where("ord % 2 = 0").count() == 0
+    none = ann.build_index(rows.limit(0), 16)
+    assert ann.ann_topk(asks, none, 5).count() == 0

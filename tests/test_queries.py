@@ -15,3 +15,9 @@ def test_query(spark, name):
         assert found == rows_of_sql(SQL[name], SF)
     else:
         assert found[1]
+
+
+def test_ann_recall(spark):
+    rows = QUERIES["ann_recall"](spark, SF).collect()
+    assert sum(r.hits for r in rows) >= 0.9 * sum(r.asked for r in rows) and all(r.asked == 5 for r in rows)
+    assert sum(r.scored for r in rows) < 500 * len(rows)
