@@ -5,11 +5,12 @@ random into blocks of about ``block`` pieces. Several islands evolve a populatio
 injects whole well-filled bins of one parent into a copy of the other, bins that then hold a document twice
 are dissolved, and the displaced documents are best-fitted. Between epochs each island's elite migrates to
 the next island of its block. A block is a row, so the work spreads over as many tasks as there are blocks
-and islands, and no task holds more than a block.
+and islands, and no task holds more than a block. The emptiest bins of all blocks are pooled and packed again.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import frugal, stored
+from ._common import frugal, quoted, stored, without
 from .tokens import encoder
 
 
@@ -58,7 +59,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     uid += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text")).mapInArrow(frugal(run), schema)
 
 
 class Packing:
@@ -100,6 +101,31 @@ class Packing:
             self._note(b, free - s)
 
 
+    def swap_in(self, loose: list[int]) -> list[int]:
+        """Trades one item of a bin that isn't full for a loose one that fills it exactly; the items that are loose then.
+
+        Those are smaller than before, and so easier to place.
+        """
+        by_size: dict[int, list[int]] = {}
+        for i in loose:
+            by_size.setdefault(self.sizes[i], []).append(i)
+        for b in range(len(self.bins)):
+            free = self.free[b]
+            if not free:
+                continue
+            for k, i in enumerate(self.bins[b]):
+                if found := by_size.get(self.sizes[i] + free):
+                    self.bins[b][k] = found.pop()
+                    by_size.setdefault(self.sizes[i], []).append(i)
+                    places = self.by_free[free]
+                    places.remove(b)
+                    if not places:
+                        self.bits ^= 1 << free
+                    self.free[b] = 0
+                    break
+        return [i for same in by_size.values() for i in same]
+
+
 def fills(bins: list[list[int]], sizes: list[int]) -> list[int]:
     size = sizes.__getitem__
     return [sum(map(size, b)) for b in bins]
@@ -124,35 +150,77 @@ def first_population(sizes: list[int], capacity: int, n: int, rng: np.random.Gen
     return out
 
 
+def gather_space(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Trades items between bins that aren't full so that one becomes full and the other's space grows, then empties the emptiest.
+
+    An item of a bin with ``free`` space goes for one of another bin that is larger by ``free``. The total space stays;
+    as it gathers in fewer bins, the items of the emptiest bin find room in them.
+    """
+    free = [capacity - n for n in fills(bins, sizes)]
+    bins = [list(x) for x in bins]
+    home: dict[int, dict[int, int]] = {}  # size -> item -> bin, of the bins that aren't full
+    for b, f in enumerate(free):
+        if f:
+            for i in bins[b]:
+                home.setdefault(sizes[i], {})[i] = b
+    for b in sorted((b for b, f in enumerate(free) if f), key=free.__getitem__):
+        if not 0 < free[b]:
+            continue
+        best = max(((free[c], i, j, c) for i in bins[b] for j, c in home.get(sizes[i] + free[b], {}).items() if c != b and free[c]), default=None)
+        if best is None:
+            continue
+        _, i, j, c = best
+        bins[b][bins[b].index(i)], bins[c][bins[c].index(j)] = j, i
+        free[c] += free[b]
+        free[b] = 0
+        home[sizes[i]][i] = c
+        for x in bins[b]:
+            home[sizes[x]].pop(x, None)
+    last = max(range(len(bins)), key=free.__getitem__)
+    rest = Packing(sizes, capacity)
+    for b, x in enumerate(bins):
+        if b != last:
+            rest.open(x)
+    rest.fit(_largest_first(bins[last], sizes))
+    return rest.bins
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Injects well-filled whole bins of ``b`` into ``a``; bins of ``a`` with their items dissolve, and the displaced are best-fitted."""
-    full = np.argsort(-np.array(fills(b, sizes)), kind="stable")[: max(1, len(b) * 3 // 4)]
-    take = [b[k] for k in full[rng.random(len(full)) < 0.35].tolist()]
+    """Injects well-filled whole bins of ``b`` into ``a``; bins of ``a`` with their items dissolve, and so do some that aren't full.
+
+    The displaced items first fill bins exactly by trades, then the rest is best-fitted and space gathered.
+    """
+    filled = fills(b, sizes)
+    take = [x for x, n in zip(b, filled, strict=True) if n == capacity and rng.random() < 0.35]
+    if not take:
+        take = [b[int(np.argmax(filled))]]
     moved = {i for x in take for i in x}
     child, displaced = Packing(sizes, capacity), []
     for x in take:
         child.open(x)
-    for x in a:
-        if moved.isdisjoint(x):
-            child.open(x)
-        else:
+    for x, n in zip(a, fills(a, sizes), strict=True):
+        if not moved.isdisjoint(x):
             displaced += [i for i in x if i not in moved]
-    child.fit(_largest_first(displaced, sizes))
-    return child.bins
+        elif n < capacity and rng.random() < 0.3:
+            displaced += x
+        else:
+            child.open(x)
+    child.fit(_largest_first(child.swap_in(displaced), sizes))
+    return gather_space(child.bins, sizes, capacity)
 
 
 def mutate(a: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Dissolves the emptiest bins and a few others, and best-fits their items."""
-    order = np.argsort(fills(a, sizes), kind="stable").tolist()
-    gone = set(order[: 1 + len(a) // 100]) | set(rng.integers(0, len(a), 1 + len(a) // 20).tolist())
+    """Dissolves the emptiest bin, a third of the others that aren't full and a few full ones, and places their items anew."""
+    filled = fills(a, sizes)
+    last = int(np.argmin(filled))
     child, loose = Packing(sizes, capacity), []
     for k, x in enumerate(a):
-        if k in gone:
+        if k == last or rng.random() < (0.35 if filled[k] < capacity else 0.02):
             loose += x
         else:
             child.open(x)
-    child.fit(_largest_first(loose, sizes))
-    return child.bins
+    child.fit(_largest_first(child.swap_in(loose), sizes))
+    return gather_space(child.bins, sizes, capacity)
 
 
 def evolve(population: list[list[list[int]]], sizes: list[int], capacity: int, generations: int, rng: np.random.Generator) -> list[list[list[int]]]:
@@ -202,38 +270,68 @@ def _epoch(capacity: int, members: int, generations: int, epoch: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, block: int = 4096, islands: int = 2, members: int = 4, epochs: int = 2, generations: int = 6) -> DataFrame:
-    """The pieces with sequence_id (long) and offset (long); every piece once, no sequence over ``capacity``.
+_PLACES = "uid long, size int, sequence_id long, offset long"
 
-    ``pieces`` has uid (unique) and length (1 to ``capacity``) and may have any other columns.
-    """
-    pieces = stored(pieces, "pieces")
-    short = pieces.where(F.col("length") < capacity)
-    blocks = max(1, -(-short.count() // block))
-    gathered = short.groupBy(F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("size"))).alias("x"))
-    state = gathered.select("block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("x.uid").alias("uids"), F.col("x.size").alias("sizes"), F.expr("cast(array() as array<binary>)").alias("population"), F.lit(0).alias("bins"))
-    state = state.repartition("block", "island")
-    for epoch in range(epochs):
-        if epoch:  # migration: the elite of each island goes to the next one of its block
-            elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("population")[0].alias("elite"))
-            state = state.join(elite, ["block", "island"])
-        state = stored(state.mapInArrow(_epoch(capacity, members, generations, epoch), _STATE), f"islands{epoch}")
-    best = state.groupBy("block").agg(F.min_by("island", F.struct("bins", "island")).alias("island"))
-    chosen = state.join(best, ["block", "island"], "left_semi").select("block", "uids", "sizes", F.col("population")[0].alias("best"))
 
-    def places(batches):
+def _places(capacity: int, level: int, last: bool):
+    """The pieces of each block with their places; those of the emptiest bins, a quarter at most, wait for the next level."""
+
+    def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 where, sizes = np.frombuffer(r["best"], "<u4").astype(np.int64), np.array(r["sizes"], np.int64)
+                filled = np.bincount(where, sizes).astype(np.int64)
+                emptiest = np.argsort(filled, kind="stable")[: 0 if last else max(1, len(filled) // 4)]
+                waits = np.isin(where, emptiest[filled[emptiest] < capacity])
                 order = np.argsort(where, kind="stable")
                 ends = np.cumsum(sizes[order])
                 first = np.flatnonzero(np.diff(where[order], prepend=-1))
                 offset = ends - sizes[order] - np.repeat((ends - sizes[order])[first], np.diff(np.append(first, len(order))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(r["uids"], np.int64)[order]), pa.array((r["block"] * (1 << 24) + where[order]) * 2 + 1), pa.array(offset)], names=["uid", "sequence_id", "offset"])
+                name = (((level << 36) + r["block"]) * (1 << 16) + where[order]) * 2 + 1
+                uids, sizes, waits = np.array(r["uids"], np.int64)[order], sizes[order].astype(np.int32), waits[order]
+                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(sizes), pa.array(name, mask=waits), pa.array(offset, mask=waits)], names=["uid", "size", "sequence_id", "offset"])
+
+    return run
+
+
+def pack(pieces: DataFrame, capacity: int = 1024, block: int = 4096, islands: int = 2, members: int = 4, epochs: int = 2, generations: int = 6) -> DataFrame:
+    """The pieces with sequence_id (long) and offset (long); every piece once, no sequence over ``capacity``.
 
-    placed = chosen.mapInArrow(places, "uid long, sequence_id long, offset long")
+    ``pieces`` has uid (unique) and length (1 to ``capacity``) and may have any other columns; sequence_id and offset
+    are replaced. What a block leaves in its emptiest bins, a quarter of them at most, is pooled over all blocks and packed
+    again, until one block holds all that is left; so blocks cost no sequences of their own.
+    """
+    pieces = stored(without(pieces, "sequence_id", "offset"), "pieces")
+    short = pieces.where(F.col("length") < capacity)
+    todo, placed, level = short.select("uid", F.col("length").cast("int").alias("size")), [], 0
+    while True:
+        blocks = max(1, -(-todo.count() // block))
+        best = _evolved(todo, blocks, level, capacity, islands, members, epochs, generations)
+        found = stored(best.mapInArrow(_places(capacity, level, blocks == 1), _PLACES), f"places{level}")
+        placed.append(found.where("sequence_id is not null"))
+        if blocks == 1:
+            break
+        todo, level = found.where("sequence_id is null").select("uid", "size"), level + 1
+    every = functools.reduce(DataFrame.unionByName, placed).select("uid", "sequence_id", "offset")
     whole = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.col("uid") * 2, "offset": F.lit(0).cast("long")})
-    return whole.unionByName(short.drop("sequence_id", "offset").join(placed, "uid"))
+    return whole.unionByName(short.join(every, "uid"))
+
+
+def _evolved(todo: DataFrame, blocks: int, level: int, capacity: int, islands: int, members: int, epochs: int, generations: int) -> DataFrame:
+    """(block, uids, sizes, best) after the islands of every block have evolved; ``best`` is the bin of each piece."""
+    deal = F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")
+    gathered = todo.groupBy(deal).agg(F.collect_list(F.struct("uid", "size")).alias("x"))  # about ``block`` pieces each
+    each = F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island")
+    none = F.expr("cast(array() as array<binary>)").alias("population")
+    state = gathered.select("block", each, F.col("x.uid").alias("uids"), F.col("x.size").alias("sizes"), none, F.lit(0).alias("bins"))
+    state = state.repartition("block", "island")
+    for epoch in range(epochs):
+        if epoch:  # migration: the elite of each island goes to the next one of its block
+            elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("population")[0].alias("elite"))
+            state = state.join(elite, ["block", "island"])
+        state = stored(state.mapInArrow(_epoch(capacity, members, generations, epoch + epochs * level), _STATE), f"islands{epoch}")
+    winner = state.groupBy("block").agg(F.min_by("island", F.struct("bins", "island")).alias("island"))
+    return state.join(winner, ["block", "island"], "left_semi").select("block", "uids", "sizes", F.col("population")[0].alias("best"))
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
