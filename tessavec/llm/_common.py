@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +47,22 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Drops this session's catalog entries and removes its intermediate files; results not yet written become unreadable."""
+    for session, table in [t for t in _TABLES if t[0] is spark]:
+        session.sql(f"DROP TABLE IF EXISTS {table}")
+    for session, path in [p for p in _OWN if p[0] is spark]:
+        remove(session, path)
+    _TABLES[:] = [t for t in _TABLES if t[0] is not spark]
+    _OWN[:] = [p for p in _OWN if p[0] is not spark]
+
+
 def _remove_all() -> None:
-    for spark, path in _OWN:
+    for spark in {id(s): s for s, _ in _OWN}.values():
         try:
-            remove(spark, path)
+            release(spark)
         except Exception:  # the session may be gone already; the folder is then the cluster's to clear
-            return
+            continue
 
 
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -71,9 +82,22 @@ def stored_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     path = new_path(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
     df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    _TABLES.append((spark, table))
     return spark.table(table)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark's Hadoop configuration resolves it; the same on the driver and all executors."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def parts_for(texts: DataFrame, text_col: str, chars: int = 16 << 20) -> int:
+    """How many buckets or shards: of about so many characters each, and at least ``spark.sql.shuffle.partitions``."""
+    total = texts.agg(F.sum(F.length(quoted(text_col)) + 16)).first()[0] or 0
+    return max(partitions(texts.sparkSession), -(-total // chars))
+
+
 def frugal(run, rows: int = 1024):
     """A function for mapInArrow that sees at most ``rows`` rows at once and gives memory back when its task ends.
 

@@ -22,8 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import frugal, partitions, stored_by
+from ._common import frugal, parts_for, quoted, stored_by, without
 from .charclass import split_as_tiktoken
 from .tokens import merge
 
@@ -143,7 +144,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
-    buckets = partitions(docs.sparkSession)
+    buckets = parts_for(docs, text_col)
 
     def split_up(batches):
         split, chunk = functools.partial(split_as_tiktoken, regex.compile(pattern)), _Chunk()
@@ -156,7 +157,7 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if chunk.ids:
             yield _batch(list(chunk.rows(buckets)))
 
-    chunks = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(frugal(split_up), _CHUNKS)
+    chunks = docs.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).alias("t")).mapInArrow(frugal(split_up), _CHUNKS)
     chunks = stored_by(chunks, "chunk", buckets, "words")
 
     def encode_bucket(table: pa.Table) -> pa.Table:
@@ -201,23 +202,38 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return chunks.where("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(reassemble, f"`{id_col}` long, ids binary")
 
 
+@functools.lru_cache(maxsize=4)
+def _token_table(path: str) -> pa.LargeBinaryArray:
+    return pa.array(token_bytes(path), pa.large_binary())
+
+
+def _joined(ids: list[bytes | None], table: pa.LargeBinaryArray) -> pa.Array:
+    """Of each row the bytes of its identifiers: one join of all their tokens with the table by identifier, in place order."""
+    counts = np.array([len(x or b"") // 4 for x in ids], np.int64)
+    found = table.take(pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<u4")))
+    ends = np.frombuffer(found.buffers()[1], "<i8", len(found) + 1, found.offset * 8)
+    at = ends[np.concatenate([[0], np.cumsum(counts)])] - ends[0]
+    body = found.buffers()[2] if len(found) else pa.py_buffer(b"")
+    body = body.slice(int(ends[0]), int(ends[-1] - ends[0])) if len(found) else body
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at.astype("<i8").tobytes()), body]).cast(pa.binary())
+
+
 def bpe_decode(tokens: DataFrame, ids_col: str = "ids", vocabulary: str | None = None, out: str = "decoded") -> DataFrame:
-    """Adds the bytes of each row's identifiers by the token-byte table, whose size the vocabulary bounds."""
+    """Adds the bytes of each row's identifiers; null has none. A column named as the output is replaced.
+
+    The tokens of a batch of rows join the token-byte table by identifier. The table has one row an identifier and is as
+    large as the vocabulary, so every worker has all of it, and tokens stay where they are and in their order.
+    """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = tokens.drop(out)
+    tokens = without(tokens, out)
     where = tokens.columns.index(ids_col)
 
     def run(batches):
-        look = token_bytes(path).__getitem__
+        table = _token_table(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                decoded = [b"".join(map(look, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(where).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=[*part.schema.names, out])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns, _joined(batch.column(where).to_pylist(), table)], names=[*batch.schema.names, out])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(out, T.BinaryType())]))
+    return tokens.mapInArrow(frugal(run, 256), T.StructType([*tokens.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

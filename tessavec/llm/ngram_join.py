@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import frugal, partitions, stored
+from ._common import frugal, hot_join, parts_for, quoted, stored, without_ids
 from .components import connected_components
 from .tokens import Cache
 
@@ -78,15 +78,19 @@ def _unpack(blob: bytes, kind: str) -> np.ndarray:
 
 
 def _pack_sorted(cells: np.ndarray) -> bytes:
-    """Ascending 48-bit numbers as differences, of 4 bytes where those suffice."""
-    steps = np.diff(cells, prepend=cells[:1] if len(cells) else 0)
+    """Ascending 64-bit numbers as differences, their upper bytes apart, which are mostly small."""
+    steps = np.diff(cells, prepend=cells[:1] if len(cells) else np.uint64(0))
     head = int(cells[0]).to_bytes(8, "little") if len(cells) else bytes(8)
-    narrow = not len(steps) or int(steps.max()) < 1 << 32
-    return (b"4" if narrow else b"8") + head + _pack(steps.astype("<u4" if narrow else "<u8"))
+    low, high = _pack(steps.astype("<u4")), _pack((steps >> np.uint64(32)).astype("<u4").view("u1").reshape(-1, 4).T.ravel())
+    return head + len(low).to_bytes(4, "little") + low + high
 
 
 def _unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(blob[9:], f"<u{int(blob[:1])}").astype(np.uint64), dtype=np.uint64) + np.uint64(int.from_bytes(blob[1:9], "little"))
+    at = 12 + int.from_bytes(blob[8:12], "little")
+    low, planes = _unpack(blob[12:at], "<u4"), _unpack(blob[at:], "u1")
+    high = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel() if len(planes) else low
+    steps = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(int.from_bytes(blob[:8], "little"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -97,13 +101,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _chunk_rows(name: str, ids: list, sets: list[np.ndarray], buckets: int):
     """The chunk's documents, and for each bucket its hashes: entries (cell, set number), and counted hot cells.
 
-    Cells are the upper 48 bits of the hashes.
+    Cells are the hashes; a bucket holds a range of them.
     """
     signs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
     first: dict[bytes, int] = {}
     rep = np.array([first.setdefault(s, k) for k, s in enumerate(signs)], np.int64)
     own = np.flatnonzero(rep == np.arange(len(sets)))
-    cells = np.concatenate([sets[k] for k in own]) >> np.uint64(16) if len(own) else np.zeros(0, np.uint64)
+    cells = np.concatenate([sets[k] for k in own]) if len(own) else np.zeros(0, np.uint64)
     of = np.repeat(own, [len(sets[k]) for k in own]).astype("<u2")
     order = np.argsort(cells, kind="stable")
     cells, of = cells[order], of[order]
@@ -112,10 +116,10 @@ def _chunk_rows(name: str, ids: list, sets: list[np.ndarray], buckets: int):
     hot = np.repeat(runs >= IN_CHUNK_HOT, runs)
     known = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([i is not None for i in ids], "u1").tobytes()
     yield name, -1, known, np.array([len(s) for s in sets], "<i4").tobytes() + rep.astype("<i4").tobytes(), b"".join(signs), _pack_sorted(cells[hot]), _pack(of[hot])
-    edges = [int(((b << 48) + buckets - 1) // buckets) for b in range(buckets + 1)]
+    edges = np.array([((b << 64) + buckets - 1) // buckets for b in range(1, buckets)], np.uint64)
     hot_cells, hot_runs = cells[starts[runs >= IN_CHUNK_HOT]], runs[runs >= IN_CHUNK_HOT]
     cells, of = cells[~hot], of[~hot]
-    at, hot_at = np.searchsorted(cells, np.array(edges, np.uint64)), np.searchsorted(hot_cells, np.array(edges, np.uint64))
+    at, hot_at = ([0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (cells, hot_cells))
     for b in range(buckets):
         x, y = slice(at[b], at[b + 1]), slice(hot_at[b], hot_at[b + 1])
         if x.stop > x.start or y.stop > y.start:
@@ -313,7 +317,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A row with a null id keeps its count, has a null component and links with nothing. ``docs`` must give the
     same rows in the same partitions when read again, as tables do; store it first where it doesn't.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets = parts_for(docs, text_col)
 
     def shingle(batches):
         sets_of, part, number = Shingler(words), TaskContext.get().partitionId(), 0
@@ -329,26 +333,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if ids:
             yield _batch(list(_chunk_rows(f"{part}-{number}", ids, sets, buckets)))
 
-    def answer(table: pa.Table) -> pa.Table:
-        table = table.select(list(_COLUMNS))
-        return table if table.column("bucket")[0].as_py() < 0 else _frequencies(table)
-
-    chunks = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(frugal(shingle), _ROWS)
-    # A chunk's own row travels with its requests, so both come from one run of the task; it has no part in a bucket.
-    own = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("chunk"), F.lit(buckets))).otherwise(F.col("bucket"))
-    answers = stored(chunks.groupBy(own.cast("int").alias("to")).applyInArrow(answer, _ROWS), "frequencies")
+    def answer(batches):
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                bucket = one.column(1)[0].as_py()
+                if bucket < 0:  # a chunk's own row passes through
+                    yield one
+                else:
+                    held.setdefault(bucket, []).append(one)
+        for rows in held.values():  # one, but where Spark has put partitions together
+            yield from _frequencies(pa.Table.from_batches(rows)).to_batches()
+
+    chunks = docs.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).alias("t")).mapInArrow(frugal(shingle), _ROWS)
+    # A chunk's own row travels with its requests, so both come from one run of the task; each bucket is a partition.
+    to = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("chunk"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
+    answers = stored(chunks.repartitionById(buckets, to).mapInArrow(answer, _ROWS), "frequencies")
     found = stored(answers.groupBy("chunk").applyInArrow(_documents(percent), _DOCS), "documents")
 
     usable = found.where("n > 0 and doc_id is not null")
-    classes = stored(usable.groupBy("sign").agg(F.min("doc_id").alias("cid")), "classes")
+    classes = stored(usable.groupBy("sign").agg(F.min("doc_id").alias("cid"), F.count("*").alias("size")), "classes")
     candidates = found.where("uid is not null").select("sign", "uid")
     one = stored(candidates.groupBy("sign").agg(F.min("uid").alias("uid")).join(classes, "sign").select("uid", "cid"), "one")
     sets = stored(found.where("uid is not null").select("uid", "n", "l", "prefix", "shingles").join(one, "uid").drop("uid"), "sets")
     roots = link_sets(sets, percent)
-    joined = stored(classes.join(roots, F.col("cid") == F.col("node"), "left").select("sign", F.coalesce("root", "cid").alias("__root")), "roots")
-    out = found.select("doc_id", "n", "sign").join(joined, "sign", "left")
-    lone = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("__root")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), lone.alias("component_id"))
+    joined = stored(classes.join(roots, F.col("cid") == F.col("node"), "left").select("sign", "size", F.coalesce("root", "cid").alias("component")), "roots")
+    named = hot_join(usable.select("doc_id", "n", "sign"), joined, "sign").select("doc_id", "n", "component")
+    lone = found.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+    out = named.unionByName(lone)
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
@@ -358,8 +372,8 @@ def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without those that a document of smaller id stands for; rows with a null id stay."""
     groups = jaccard_components(docs, id_col, text_col, **options)
-    gone = stored(groups.where(f"component_id <> `{id_col}`").select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = stored(groups.where(F.col("component_id") != quoted(id_col)).select(quoted(id_col).alias("gone")).distinct(), "gone")
+    return without_ids(docs, id_col, gone)
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = 5, percent: int = 75) -> dict[int, tuple[int, int]]:

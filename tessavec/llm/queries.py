@@ -11,7 +11,7 @@ from .secrets import op10_secret_scan
 from .tokenfile import op4_token_files
 from .tokens import op9_token_counts
 from .toxicity import op7_toxicity
-from .urlfilter import op8_url_filter
+from .urlfilter import OP8_SQL, op8_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_exact_dedup, op4_token_files, op5_byte_bpe, op6_ngram_join, op7_toxicity, op8_url_filter, op9_token_counts, op10_secret_scan)}
-ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}

@@ -5,7 +5,7 @@ shard: ``shard-k.arrow``, record batches of ``ids: fixed_size_list<uint>[length]
 fixed_size_list<bool>[length]``, and ``shard-k.docs.arrow``, the place of each document. Within a shard the
 identifiers follow each other without gaps; only its last sequence is padded, which the mask shows. All
 batches but the last have the same number of sequences, hence the same byte layout, and a reader maps the
-file and takes views of any sequence without copying.
+file and takes views of any sequence and its mask without copying.
 
 Files are written under a name of the attempt's own and then moved, so lost or repeated tasks leave whole
 shards. Paths go through pyarrow's file systems; the folder must be one that all executors share.
@@ -13,6 +13,7 @@ shards. Paths go through pyarrow's file systems; the folder must be one that all
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -25,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import frugal, new_path, partitions
+from ._common import frugal, new_path, parts_for, qualified, quoted
 from .tokens import encoder
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a location with its scheme (see ``qualified``); one without is the local disk's."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
@@ -120,8 +122,9 @@ class ShardReader:
     def ids(self, i: int) -> np.ndarray:
         return self.batches[i // self.per_batch].column(0)[i % self.per_batch].values.to_numpy(zero_copy_only=True)
 
-    def mask(self, i: int) -> np.ndarray:
-        return self.batches[i // self.per_batch].column(1)[i % self.per_batch].values.to_numpy(zero_copy_only=False)
+    def mask(self, i: int) -> pa.BooleanArray:
+        """A view of the packed bits; NumPy, which has no bits, would need a copy."""
+        return self.batches[i // self.per_batch].column(1)[i % self.per_batch].values
 
     def documents(self):
         """(doc_id, start in the shard, n_tokens) and the identifiers of every document, as arrays in pieces."""
@@ -153,16 +156,18 @@ class TokenFiles:
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, length: int = 2048, per_batch: int = 64) -> TokenFiles:
     """Encodes every whole text, appends ``end_id`` and writes the shards. Null and empty texts are the end id alone.
 
-    Null ids come first; rows that share an id follow in the order of their texts.
+    Null ids come first; rows that share an id follow in the order of their texts. ``folder`` is resolved as Spark
+    does. The number of shards follows the size of the texts.
     """
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     tail = int(end_id).to_bytes(width, "little")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
+    rows = rows.repartitionByRange(parts_for(rows, "text"), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         writer, encode = None, encoder(path, width).encode
@@ -187,14 +192,9 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                out = []
-                for doc_id, start, n, pieces in ShardReader(folder, shards[k]).documents():
-                    crc = 0
-                    for p in pieces:
-                        crc = zlib.crc32(p.astype("<u4").tobytes(), crc)
-                    out.append((doc_id, bases[k] + start, n, crc))
-                for a in range(0, len(out), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[a : a + 10_000], strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                places = ShardReader(folder, shards[k]).documents()
+                while out := [_digest(bases[k], *place) for place in itertools.islice(places, 4096)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not shards:
@@ -202,6 +202,13 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
     return spark.range(0, len(shards), 1, len(shards)).mapInArrow(run, schema)
 
 
+def _digest(base: int, doc_id, start: int, n: int, pieces: list) -> tuple:
+    crc = 0
+    for p in pieces:
+        crc = zlib.crc32(p.astype("<u4").tobytes(), crc)
+    return doc_id, base + start, n, crc
+
+
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_tokens(spark, write_tokens(docs, new_path(spark, "tokens")))

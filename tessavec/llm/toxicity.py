@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import frugal, without
+from ._common import frugal, quoted, without
 from .tokens import Cache
 
 BITS, START, GRADES, LIKELY = 20, 5, 3, 0.35
@@ -117,10 +117,10 @@ def _fit_cumulative(x: np.ndarray, grade: np.ndarray, features: np.ndarray, step
 
 def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000) -> SeverityModel:
     """Fits on at most ``sample`` labelled rows. Rows without a label of 0 or 1, or without a document, don't count."""
-    said = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__toxic"))
+    said = labels.where(quoted(id_col).isNotNull() & quoted(label_col).isin(0, 1)).groupBy(quoted(id_col).alias("__id")).agg(F.max(label_col).alias("__toxic"))
     lowest = lambda t, n: said.where(F.col("__toxic") == t).orderBy(F.xxhash64("__id"), "__id").limit(n)
     chosen = F.broadcast(lowest(0, sample * 2 // 3).unionByName(lowest(1, sample // 3)))  # at most ``sample`` rows of two numbers
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(chosen, "__id")
+    rows = docs.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text")).join(chosen, "__id")
 
     def count(batches):
         for batch in batches:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_path, remove, stored, without
+from ._common import new_path, quoted, remove, stored
 
 OUTPUT = ("host", "path", "rule", "verdict")
 #: What any host may lack of its trust or distrust when the spreading ends.
@@ -113,19 +113,37 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url",
     A host is a trusted (blocked) seed where more than ``majority`` of its pages have an allow (block) rule.
     Pages without host have no rule and are allowed; hosts that nothing reaches are allowed.
     """
-    pages = without(pages, *OUTPUT)
-    host, path = host_and_path(F.col(url_col))
-    judged = pages.withColumns({"host": host, "path": path})
-    judged = judged.withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules))
-    share = lambda v: F.avg(F.coalesce((F.col("__rule.verdict") == v).cast("int"), F.lit(0)))
+    names = [c for c in pages.columns if c.lower() not in OUTPUT]
+    host, path = host_and_path(quoted(url_col))
+    judged = pages.select(F.struct(*[quoted(c) for c in names]).alias("page") if names else F.lit(None).alias("page"), quoted(html_col).alias("html"), host.alias("host"), path.alias("path"))
+    judged = judged.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
+    share = lambda v: F.avg(F.coalesce((F.col("found.verdict") == v).cast("int"), F.lit(0)))
     hosts = stored(judged.where("host != ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
     seeds = hosts.select("host", (F.col("allowed") > majority).cast("double").alias("trust"), (F.col("blocked") > majority).cast("double").alias("distrust"))
-    scores = spread(seeds, stored(host_links(judged, "host", html_col), "links"), damping, rounds)
-    bad = stored(scores.where((F.col("distrust") >= threshold - TOLERANCE) & (F.col("distrust") - F.col("trust") > TOLERANCE)).select("host", F.lit(True).alias("__bad")), "bad")
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.coalesce(F.col("__bad"), F.lit(False)), "block").otherwise("allow"))
-    return judged.join(bad, "host", "left").select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))
+    scores = spread(seeds, stored(host_links(judged, "host", "html"), "links"), damping, rounds)
+    bad = stored(scores.where((F.col("distrust") >= threshold - TOLERANCE) & (F.col("distrust") - F.col("trust") > TOLERANCE)).select("host"), "bad")
+    # only pages without a rule look their host up; the others are dealt at random, as no host has a slash
+    asks = F.col("found").isNull() & (F.col("host") != "")
+    judged = judged.withColumn("asks", F.when(asks, F.col("host")).otherwise(F.concat(F.lit("/"), F.pmod(F.xxhash64("path", "page"), F.lit(1 << 20)).cast("string"))))
+    bad = bad.select(F.col("host").alias("bad"))
+    told = judged.drop("html").join(bad, judged["asks"] == bad["bad"], "left")
+    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("bad").isNotNull(), "block").otherwise("allow"))
+    return told.select(*(["page.*"] if names else []), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return judge_urls(pages, QUERY_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_RULE_ROWS = ", ".join(f"({k}, '{r.host}', '{r.path}', '{r.verdict}')" for k, r in enumerate(QUERY_RULES))
+#: For tables whose pages have no links to other hosts, as the test tables: nothing spreads there, and the method allows.
+OP8_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+r AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS t(k, rule_host, rule_path, verdict)),
+f AS (SELECT h.page_id, r.* FROM h JOIN r ON (h.host = rule_host OR ends_with(h.host, '.' || rule_host)) AND starts_with(h.path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY h.page_id ORDER BY length(rule_host || rule_path) DESC, k) = 1)
+SELECT h.page_id, h.host, h.path, f.rule_host || f.rule_path AS rule, coalesce(f.verdict, 'allow') AS verdict FROM h LEFT JOIN f USING (page_id)
+"""
