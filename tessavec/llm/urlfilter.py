@@ -137,13 +137,13 @@ def op8_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 _RULE_ROWS = ", ".join(f"({k}, '{r.host}', '{r.path}', '{r.verdict}')" for k, r in enumerate(QUERY_RULES))
-#: For tables whose pages have no links to other hosts, as the test tables: nothing spreads there, and the method allows.
-OP8_SQL = f"""
+#: Host, path and rule of every page, and the rule's verdict; SQL doesn't express the spreading that judges the rest.
+RULES_SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
 r AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS t(k, rule_host, rule_path, verdict)),
 f AS (SELECT h.page_id, r.* FROM h JOIN r ON (h.host = rule_host OR ends_with(h.host, '.' || rule_host)) AND starts_with(h.path, rule_path)
   QUALIFY row_number() OVER (PARTITION BY h.page_id ORDER BY length(rule_host || rule_path) DESC, k) = 1)
-SELECT h.page_id, h.host, h.path, f.rule_host || f.rule_path AS rule, coalesce(f.verdict, 'allow') AS verdict FROM h LEFT JOIN f USING (page_id)
+SELECT h.page_id, h.host, h.path, f.rule_host || f.rule_path AS rule, f.verdict AS rule_verdict FROM h LEFT JOIN f USING (page_id)
 """

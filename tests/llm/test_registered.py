@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from tessavec.llm import ngram_join, secrets, toxicity
+from tessavec.llm import ngram_join, secrets, toxicity, urlfilter
 from tessavec.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_operators import secret_spans
 from tests.oracle import rows_of_spark, rows_of_sql
@@ -30,6 +30,16 @@ def test_secret_query(spark):
         assert r.base_sha256 == hashlib.sha256(said(base).encode()).hexdigest() and r.spans == said(spans)
 
 
+def test_url_rules(spark):
+    names, want = rows_of_sql(urlfilter.RULES_SQL, "/root/testdata/sf0.01")
+    assert names == ["host", "page_id", "path", "rule", "rule_verdict"]
+    got = {r.page_id: r for r in QUERIES["op8_url_filter"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(want)
+    for host, page, path, rule, verdict in want:
+        r = got[page]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and r.verdict == (verdict or r.verdict)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     toxic = {r.doc_id for r in QUERIES["op7_toxicity"](spark, SF).where("toxic").collect()}
