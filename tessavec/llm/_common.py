@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: list[tuple[SparkSession, str]] = []
 _TABLES: list[tuple[SparkSession, str]] = []
@@ -118,6 +119,23 @@ def frugal(run, rows: int = 1024):
     return wrapped
 
 
+def with_columns_of(df: DataFrame, run, added: dict[str, T.DataType], rows: int = 1024) -> DataFrame:
+    """``df.mapInArrow`` of a function that returns all columns of its batches and ``added`` ones after them.
+
+    mapInArrow takes names for paths, so the columns go through it by number and may have any names.
+    """
+    names = [*df.columns, *added]
+    numbers = [f"c{k}" for k in range(len(names))]
+    kinds = [f.dataType for f in df.schema.fields] + list(added.values())
+
+    def numbered(batches):
+        for batch in run(batches):
+            yield batch.rename_columns(numbers)
+
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(numbers, kinds, strict=True)])
+    return df.toDF(*numbers[: len(df.columns)]).mapInArrow(frugal(numbered, rows), schema).toDF(*names)
+
+
 def give_back() -> None:
     import ctypes
 

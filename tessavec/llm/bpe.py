@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import frugal, parts_for, quoted, stored_by, without
+from ._common import frugal, parts_for, quoted, stored_by, with_columns_of, without
 from .charclass import split_as_tiktoken
 from .tokens import merge
 
@@ -233,7 +233,7 @@ def bpe_decode(tokens: DataFrame, ids_col: str = "ids", vocabulary: str | None =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, _joined(batch.column(where).to_pylist(), table)], names=[*batch.schema.names, out])
 
-    return tokens.mapInArrow(frugal(run, 256), T.StructType([*tokens.schema.fields, T.StructField(out, T.BinaryType())]))
+    return with_columns_of(tokens, run, {out: T.BinaryType()}, 256)
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

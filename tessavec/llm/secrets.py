@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import frugal, without
+from ._common import with_columns_of, without
 from .automaton import Dfa
 
 
@@ -123,7 +123,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spa
                 spans += [[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in found.get(i, ())] for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _SPANS_ARROW)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(out, _SPANS)]))
+    return with_columns_of(docs, run, {out: _SPANS})
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
@@ -149,7 +149,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
                     texts[a + i] = clean(texts[a + i], spans)
             yield batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
 
-    return docs.mapInArrow(frugal(run), docs.schema)
+    return with_columns_of(docs, run, {})
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import frugal, without
+from ._common import with_columns_of, without
 from .charclass import has_late
 
 
@@ -226,7 +226,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", tokenizer: str | None
             size = np.fromiter((len((t or "").encode("utf-8", "replace")) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(n), pa.array(n > limit)], names=[*batch.schema.names, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]))
+    return with_columns_of(docs, run, {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType()})
 
 
 @functools.lru_cache(maxsize=4)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import frugal, quoted, without
+from ._common import frugal, quoted, with_columns_of, without
 from .tokens import Cache
 
 BITS, START, GRADES, LIKELY = 20, 5, 3, 0.35
@@ -67,8 +67,14 @@ def nothing_toxic() -> SeverityModel:
     return SeverityModel(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]))
 
 
-def fit(rows: np.ndarray, found: np.ndarray, counts: np.ndarray, toxic: np.ndarray, n_features: int = 128, steps: int = 1500, penalty: float = 0.06) -> SeverityModel:
-    """Fits on (row, feature, count) triples and the 0/1 label of each row; deterministic. ``penalty`` is shared by all rows."""
+def fit(
+    rows: np.ndarray, found: np.ndarray, counts: np.ndarray, toxic: np.ndarray, n_features: int = 128, steps: int = 1500, penalty: float = 0.06, least: float = 3.5
+) -> SeverityModel:
+    """Fits on (row, feature, count) triples and the 0/1 label of each row; deterministic. ``penalty`` is shared by all rows.
+
+    Features are those whose number of toxic rows is the most standard deviations off what chance gives, ``least`` or more:
+    chance features have small weights, but in a very long text their counts would outweigh its markers.
+    """
     n_toxic = int(toxic.sum())
     if not n_toxic or n_toxic == len(toxic) or not len(found):
         return nothing_toxic()
@@ -79,7 +85,7 @@ def fit(rows: np.ndarray, found: np.ndarray, counts: np.ndarray, toxic: np.ndarr
     expected = with_it * (n_toxic / len(toxic))
     strength = np.where(with_it >= 3, np.abs(in_toxic - expected) / np.sqrt(expected + 0.5), -1.0)
     chosen = np.lexsort((names, -strength))[:n_features]
-    chosen = chosen[strength[chosen] >= 0]
+    chosen = chosen[strength[chosen] >= least]
     column = np.full(len(names), -1)
     column[chosen] = np.arange(len(chosen))
     at = column[place]
@@ -171,7 +177,7 @@ def score_toxicity(docs: DataFrame, model: SeverityModel, text_col: str = "text"
             severity = np.where(empty, 0.0, np.round(model.severity(z), 6))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity), pa.array(model.toxic(z) & ~empty)], names=[*batch.schema.names, "severity", "toxic"])
 
-    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("toxic", T.BooleanType())]))
+    return with_columns_of(docs, run, {"severity": T.DoubleType(), "toxic": T.BooleanType()})
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
