@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessavec.llm._common import stored
+from tessavec.llm._common import quoted, stored
 from tessavec.llm.exact_dedup import drop_duplicates
 from tessavec.llm.ngram_join import keep_one_of_each
 from tessavec.llm.packing import pack, token_pieces
@@ -19,7 +19,7 @@ from tessavec.llm.toxicity import fit_severity, score_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model finds toxic go."""
     model = fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    return score_toxicity(docs, model).where(~F.col("toxic")).select(*map(quoted, docs.columns))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
