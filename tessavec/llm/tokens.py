@@ -6,6 +6,7 @@ import functools
 import heapq
 import json
 import re
+import string
 import unicodedata
 from array import array
 from pathlib import Path
@@ -234,12 +235,37 @@ def _counter(path: str) -> WordEndCounter:
     return WordEndCounter(path)
 
 
+def direct_words(library) -> dict[str, tuple[str, bool]]:
+    """How words of ASCII letters reach the tokenizer's model: what stands for the blank before them, and if lower-cased.
+
+    By what precedes the word, "" or a blank. A case is left out where the tokenizer splits such words, changes them
+    otherwise, could find an added token in them, or cuts or pads its output.
+    """
+    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    if library.truncation or library.padding or any(not t.strip() or (t.strip().isascii() and t.strip().isalpha()) for t in special):
+        return {}
+    normal, split, out = library.normalizer, library.pre_tokenizer, {}
+    a, b = string.ascii_lowercase, string.ascii_uppercase
+    for lead in ("", " "):
+        found = set()
+        for word in (a + b, b + a, *a, *b):
+            text = normal.normalize_str(lead + word) if normal else lead + word
+            parts = [x for x, _ in split.pre_tokenize_str(text)] if split else []
+            whole = parts[0] if len(parts) == 1 else ""
+            found.add(next(((whole[: -len(w)], low) for w, low in ((word, False), (word.lower(), True)) if whole.endswith(w)), None))
+        kinds = {x for x in found if x is not None}
+        if None not in found and len({x[0] for x in kinds}) == 1:
+            out[lead] = (kinds.pop()[0], any(low for _, low in found))
+    return out
+
+
 class Encoder:
     """Identifiers of whole texts by the tokenizers library, as little-endian unsigned bytes of ``width``.
 
     The library encodes every distinct piece once; pieces are cut where its own splitting must cut: at single
     blanks and line ends between characters that are not white space, and before a mark that ends a word.
-    A text with any other white space at a piece's edge goes to the library whole.
+    A text with any other white space at a piece's edge goes to the library whole. Words of ASCII letters go
+    straight to the library's model where its normalising and splitting keep such words whole.
     """
 
     def __init__(self, path: str, width: int = 2, cache: int = 600_000) -> None:
@@ -250,6 +276,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.cuts = MarkCuts(self.library)
+        self.model, self.direct = self.library.model, direct_words(self.library)
         self.code = {2: "H", 4: "I"}[width]
         self.first, self.later = Cache(cache // 4), Cache(cache)
         self.newline, *marks = self._encode(["\n", *_ENDS])
@@ -258,6 +285,10 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model_ids(self, lead: str, word: str) -> bytes:
+        before, lower = self.direct[lead]
+        return array(self.code, [t.id for t in self.model.tokenize(before + (word.lower() if lower else word))]).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -279,6 +310,8 @@ class Encoder:
                             word, mark = (p[:-1], self.marks[p[-1]]) if self.cuts(p) else (p, b"")
                             if mark and (ids := cache.get(word)) is not None:
                                 out[k] = cache.put(p, ids + mark)
+                            elif lead in self.direct and word.isascii() and word.isalpha():
+                                out[k] = cache.put(word, self._model_ids(lead, word)) + mark
                             else:
                                 slots.append((k, cache, word, mark))
                                 missing.append(lead + word)
