@@ -23,6 +23,9 @@ from .graph import level_of
 
 _SHARD = "shard int, cell int, n long, ords binary, levels binary, dead binary, x binary, links binary"
 _NAMES = ("shard", "cell", "n", "ords", "levels", "dead", "x", "links")
+_KINDS = {"ords": "<i8", "levels": "<i4", "dead": "u1", "x": "<f8", "links": "<i4"}
+#: Bytes of scores that linking a shard holds at once.
+LINK_BYTES = 1 << 24
 #: Cells and rows of the sample that their centroids are fitted on, at most.
 MOST_CELLS, SAMPLE = 1024, 20_000
 
@@ -54,45 +57,44 @@ class LayeredIndex:
         fs, at = file_system(spark, f"{path}/about/_SUCCESS")
         return fs.exists(at)
 
+    def _each(self, run, schema: str, *columns: str) -> DataFrame:
+        """``run`` of every shard on its own, so that a worker holds one shard, given as arrays of the columns by name."""
+
+        def one(table: pa.Table) -> pa.Table:
+            return run(table.column("shard")[0].as_py(), **{c: np.frombuffer(table.column(c)[0].as_buffer(), _KINDS[c]) for c in columns})
+
+        return self.shards.select("shard", *columns).groupBy("shard").applyInArrow(one, schema)
+
     def neighbours(self) -> DataFrame:
         """(shard, level, src, rank, dst) of all edges; rank 1 is the nearest."""
         levels = self.levels
 
-        def run(batches):
-            for batch in batches:
-                for r in batch.to_pylist():
-                    g = _Graph(r, levels)
-                    level, src, place = np.nonzero(g.links >= 0)
-                    columns = (np.full(len(src), r["shard"], np.int32), level.astype(np.int32), g.ords[src], (place + 1).astype(np.int32), g.ords[g.links[level, src, place]])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "level", "src", "rank", "dst"])
+        def run(shard: int, ords: np.ndarray, links: np.ndarray) -> pa.Table:
+            links = links.reshape(levels, len(ords), -1)
+            level, src, place = np.nonzero(links >= 0)
+            columns = (np.full(len(src), shard, np.int32), level.astype(np.int32), ords[src], (place + 1).astype(np.int32), ords[links[level, src, place]])
+            return pa.table(list(columns), names=["shard", "level", "src", "rank", "dst"])
 
-        return self.shards.mapInArrow(run, "shard int, level int, src long, rank int, dst long")
+        return self._each(run, "shard int, level int, src long, rank int, dst long", "ords", "links")
 
     def nodes(self) -> DataFrame:
         """(shard, ord, level, dead) of all nodes."""
-        levels = self.levels
 
-        def run(batches):
-            for batch in batches:
-                for r in batch.to_pylist():
-                    g = _Graph(r, levels)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g.ords), r["shard"], np.int32)), pa.array(g.ords), pa.array(g.levels), pa.array(g.dead)], names=["shard", "ord", "level", "dead"])
+        def run(shard: int, ords: np.ndarray, levels: np.ndarray, dead: np.ndarray) -> pa.Table:
+            return pa.table([np.full(len(ords), shard, np.int32), ords, levels, pa.array(dead.astype(bool))], names=["shard", "ord", "level", "dead"])
 
-        return self.shards.mapInArrow(run, "shard int, ord long, level int, dead boolean")
+        return self._each(run, "shard int, ord long, level int, dead boolean", "ords", "levels", "dead")
 
     def stats(self) -> DataFrame:
         """(level, nodes): live nodes that have neighbours there; at level 0 all live ones."""
         levels = self.levels
 
-        def run(batches):
-            for batch in batches:
-                for r in batch.to_pylist():
-                    g = _Graph(r, levels)
-                    linked = (g.links[:, :, 0] >= 0) & ~g.dead
-                    counts = [int((~g.dead).sum()), *linked[1:].sum(axis=1).tolist()]
-                    yield pa.RecordBatch.from_pydict({"level": pa.array(range(levels), pa.int32()), "nodes": pa.array(counts, pa.int64())})
+        def run(shard: int, dead: np.ndarray, links: np.ndarray) -> pa.Table:
+            linked = (links.reshape(levels, len(dead), -1)[:, :, 0] >= 0) & (dead == 0)
+            counts = [int((dead == 0).sum()), *linked[1:].sum(axis=1).tolist()]
+            return pa.table([pa.array(range(levels), pa.int32()), pa.array(counts, pa.int64())], names=["level", "nodes"])
 
-        return self.shards.mapInArrow(run, "level int, nodes long").groupBy("level").agg(F.sum("nodes").alias("nodes"))
+        return self._each(run, "level int, nodes long", "dead", "links").groupBy("level").agg(F.sum("nodes").alias("nodes"))
 
     def unlinked(self, gone: DataFrame) -> LayeredIndex:
         """The index without the nodes ``gone`` (column ord): they are neither returned nor passed through any more."""
@@ -178,21 +180,23 @@ class _Graph:
         return self.beam(q, at, ef)
 
 
-def link(x: np.ndarray, m: int, block: int = 1024) -> np.ndarray:
+def link(x: np.ndarray, m: int, block: int | None = None) -> np.ndarray:
     """Places of at most ``m`` neighbours of each row, best first: its ``m`` nearest and those it is nearest to, evicting the worst."""
     n, near = len(x), min(m, len(x) - 1)
     out = np.full((n, m), -1, np.int32)
     if near < 1:
         return out
-    top, score = np.empty((n, near), np.int64), np.empty((n, near))
+    block = block or max(1, LINK_BYTES // (8 * n))
+    top, score = np.empty((n, near), np.int32), np.empty((n, near))
     for a in range(0, n, block):
         s = x[a : a + block] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        part = np.argpartition(-s, near - 1, axis=1)[:, :near]
-        top[a : a + block], score[a : a + block] = part, np.take_along_axis(s, part, axis=1)
-    src, dst, s = np.repeat(np.arange(n), near), top.ravel(), score.ravel()
+        np.negative(s, out=s)
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = np.inf
+        part = np.argpartition(s, near - 1, axis=1)[:, :near]
+        top[a : a + block], score[a : a + block] = part, -np.take_along_axis(s, part, axis=1)
+    src, dst, s = np.repeat(np.arange(n, dtype=np.int32), near), top.ravel(), score.ravel()
     src, dst, s = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([s, s])
-    _, once = np.unique(src * n + dst, return_index=True)
+    _, once = np.unique(src.astype(np.int64) * n + dst, return_index=True)
     src, dst, s = src[once], dst[once], s[once]
     order = np.lexsort((dst, -s, src))
     src, dst = src[order], dst[order]
@@ -244,7 +248,7 @@ def build_index(rows: DataFrame, dim: int, m: int = 32, levels: int = 5, shard_r
 
     def build(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.argsort(table.column("ord").to_numpy(), kind="stable")))
-        x = np.array(table.column("v").to_pylist(), float).reshape(table.num_rows, -1)
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         level = table.column("level").to_numpy()
         links = np.full((levels, len(x), m), -1, np.int32)
         for k in range(levels):
