@@ -4,13 +4,16 @@ Rows are dealt into cells around centroids, which are fitted on a bounded sample
 Each shard is one row: its ordinals, levels, vectors and, for every level, an adjacency list of ``m`` places. A query goes
 to the shards of the cells nearest to it, climbs greedily from the entry point of the top level down to level 1, and
 searches level 0 with a beam. Exact search is the default elsewhere; this is opt-in.
+
+Levels are drawn over all rows, so a node may be alone on a level of its shard: its neighbours there are the nearest nodes of
+that level in other shards. These edges are a table of their own.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from ..functions.vector import SCORE_DIGITS
 from ..sources.shared import file_system, settled
 from .graph import level_of
+from .search import batch_topk
 
 _SHARD = "shard int, cell int, n long, ords binary, levels binary, dead binary, x binary, links binary"
+_EDGE = "shard int, level int, src long, rank int, dst long"
 _NAMES = ("shard", "cell", "n", "ords", "levels", "dead", "x", "links")
 _KINDS = {"ords": "<i8", "levels": "<i4", "dead": "u1", "x": "<f8", "links": "<i4"}
 #: Bytes of scores that linking a shard holds at once.
@@ -32,25 +37,33 @@ MOST_CELLS, SAMPLE = 1024, 20_000
 
 @dataclass(frozen=True)
 class LayeredIndex:
-    """``shards``: one row a shard. ``centroids``: of the cells. At most ``m`` neighbours a node and level."""
+    """``shards``: one row a shard. ``centroids``: of the cells. At most ``m`` neighbours a node and level.
+
+    ``bridges``: edges from nodes that are alone on a level of their shard, if there are several shards.
+    """
 
     shards: DataFrame
     centroids: np.ndarray
     m: int
     levels: int
+    bridges: DataFrame | None = None
 
     def save(self, path: str) -> None:
         """Writes the shards and what belongs to them into a new folder."""
         spark = self.shards.sparkSession
         self.shards.write.parquet(f"{path}/shards")
         about = {"m": self.m, "levels": self.levels, "centroids": self.centroids.tolist()}
+        if self.bridges is not None:
+            self.bridges.write.parquet(f"{path}/bridges")
         spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.parquet(f"{path}/about")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LayeredIndex:
         about = json.loads(spark.read.schema("about string").parquet(f"{path}/about").first()[0])
         shards = spark.read.schema(_SHARD).parquet(f"{path}/shards")
-        return LayeredIndex(shards, np.array(about["centroids"], float), about["m"], about["levels"])
+        fs, at = file_system(spark, f"{path}/bridges/_SUCCESS")
+        bridges = spark.read.schema(_EDGE).parquet(f"{path}/bridges") if fs.exists(at) else None
+        return LayeredIndex(shards, np.array(about["centroids"], float), about["m"], about["levels"], bridges)
 
     @staticmethod
     def exists(spark: SparkSession, path: str) -> bool:
@@ -75,7 +88,8 @@ class LayeredIndex:
             columns = (np.full(len(src), shard, np.int32), level.astype(np.int32), ords[src], (place + 1).astype(np.int32), ords[links[level, src, place]])
             return pa.table(list(columns), names=["shard", "level", "src", "rank", "dst"])
 
-        return self._each(run, "shard int, level int, src long, rank int, dst long", "ords", "links")
+        edges = self._each(run, _EDGE, "ords", "links")
+        return edges if self.bridges is None else edges.unionByName(self.bridges)
 
     def nodes(self) -> DataFrame:
         """(shard, ord, level, dead) of all nodes."""
@@ -94,7 +108,10 @@ class LayeredIndex:
             counts = [int((dead == 0).sum()), *linked[1:].sum(axis=1).tolist()]
             return pa.table([pa.array(range(levels), pa.int32()), pa.array(counts, pa.int64())], names=["level", "nodes"])
 
-        return self._each(run, "level int, nodes long", "dead", "links").groupBy("level").agg(F.sum("nodes").alias("nodes"))
+        counts = self._each(run, "level int, nodes long", "dead", "links")
+        if self.bridges is not None:
+            counts = counts.unionByName(self.bridges.select("level", "src").distinct().select("level", F.lit(1).cast("long").alias("nodes")))
+        return counts.groupBy("level").agg(F.sum("nodes").alias("nodes"))
 
     def unlinked(self, gone: DataFrame) -> LayeredIndex:
         """The index without the nodes ``gone`` (column ord): they are neither returned nor passed through any more."""
@@ -112,7 +129,12 @@ class LayeredIndex:
             return g.table(shard.column("shard")[0].as_py(), shard.column("cell")[0].as_py())
 
         shards = self.shards.groupBy("shard").cogroup(where.groupBy("in_shard")).applyInArrow(bury, _SHARD)
-        return LayeredIndex(settled(shards), self.centroids, self.m, self.levels)
+        bridges = self.bridges
+        if bridges is not None:
+            dead = gone.select(F.col("ord").alias("__gone")).distinct()
+            bridges = bridges.join(dead, F.col("src") == F.col("__gone"), "left_anti").join(dead, F.col("dst") == F.col("__gone"), "left_anti")
+            bridges = settled(bridges.withColumn("rank", F.row_number().over(Window.partitionBy("level", "src").orderBy("rank"))))
+        return LayeredIndex(settled(shards), self.centroids, self.m, self.levels, bridges)
 
 
 class _Graph:
@@ -225,6 +247,20 @@ def _cell_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x @ centres.T - 0.5 * (centres * centres).sum(axis=1)).argmax(axis=1)
 
 
+def _bridges(index: LayeredIndex, dealt: DataFrame, dim: int) -> DataFrame | None:
+    """Edges from the nodes that are alone on a level above 0 of their shard to the nearest of the level in other shards."""
+    there = index.nodes().select("shard", "ord", F.explode(F.sequence(F.lit(0), "level")).alias("level")).where("level > 0")
+    alone = settled(there.groupBy("shard", "level").agg(F.count("*").alias("n"), F.min("ord").alias("qid")).where("n = 1").drop("n"))
+    edges = None
+    for level in sorted(r.level for r in alone.select("level").distinct().collect()):
+        nodes = settled(dealt.where(F.col("level") >= level).select("ord", F.col("v").alias("vector")))
+        mine = alone.where(F.col("level") == level).join(nodes, F.col("qid") == F.col("ord")).select("qid", "vector")
+        found = batch_topk(mine, nodes, index.m, dim, exclude_self=True).join(alone.where(F.col("level") == level), "qid")
+        found = found.select("shard", "level", F.col("qid").alias("src"), "rank", F.col("ord").alias("dst"))
+        edges = found if edges is None else edges.unionByName(found)
+    return None if edges is None else settled(edges)
+
+
 def build_index(rows: DataFrame, dim: int, m: int = 32, levels: int = 5, shard_rows: int = 16_384) -> LayeredIndex:
     """Of rows (ord, id, vector): levels are drawn from the ids, and each level of a shard is linked on its own."""
     n = rows.count()
@@ -259,7 +295,8 @@ def build_index(rows: DataFrame, dim: int, m: int = 32, levels: int = 5, shard_r
         return _Graph(row, levels).table(table.column("shard")[0].as_py(), table.column("cell")[0].as_py())
 
     shards = dealt.withColumn("shard", shard.cast("int")).groupBy("shard").applyInArrow(build, _SHARD)
-    return LayeredIndex(settled(shards), centres, m, levels)
+    index = LayeredIndex(settled(shards), centres, m, levels)
+    return replace(index, bridges=_bridges(index, dealt, dim)) if sum(slices) > 1 else index
 
 
 def ann_topk(queries: DataFrame, index: LayeredIndex, k: int, ef: int = 50, probes: int | None = None, query_block: int = 1024) -> DataFrame:
