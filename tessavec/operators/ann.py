@@ -11,7 +11,6 @@ that level in other shards. These edges are a table of their own.
 
 from __future__ import annotations
 
-import heapq
 import json
 from dataclasses import dataclass, replace
 
@@ -33,6 +32,8 @@ _KINDS = {"ords": "<i8", "levels": "<i4", "dead": "u1", "x": "<f8", "links": "<i
 LINK_BYTES = 1 << 24
 #: Cells and rows of the sample that their centroids are fitted on, at most.
 MOST_CELLS, SAMPLE = 1024, 20_000
+#: Queries that a shard searches at once; sampled queries that a search is tuned on, and the recall asked of them.
+BEAMS, ASKED, TARGET = 128, 512, 0.92
 
 
 @dataclass(frozen=True)
@@ -147,59 +148,81 @@ class _Graph:
         self.x, self.links = read("x", "<f8").reshape(n, -1), read("links", "<i4").reshape(levels, n, -1).copy()
         live = np.flatnonzero(~self.dead)
         self.entry = int(live[np.lexsort((self.ords[live], -self.levels[live]))[0]]) if len(live) else -1
-        self.scored = 0
 
     def table(self, shard: int, cell: int) -> pa.Table:
         packed = [self.ords.astype("<i8"), self.levels.astype("<i4"), self.dead.astype("u1"), self.x.astype("<f8"), self.links.astype("<i4")]
         head = [pa.array([shard], pa.int32()), pa.array([cell], pa.int32()), pa.array([len(self.ords)], pa.int64())]
         return pa.Table.from_arrays([*head, *[pa.array([p.tobytes()], pa.binary()) for p in packed]], names=list(_NAMES))
 
-    def scores(self, q: np.ndarray, nodes) -> np.ndarray:
-        self.scored += len(nodes)
-        return self.x[nodes] @ q
-
-    def greedy(self, q: np.ndarray, level: int, at: int) -> int:
-        """Climbs to a node that none of its neighbours of the level beats."""
-        best = float(self.scores(q, [at])[0])
+    def greedy(self, q: np.ndarray, level: int, at: np.ndarray, compared: np.ndarray) -> None:
+        """Climbs, for each query from its node in ``at``, to a node that none of its neighbours of the level beats."""
+        best = np.einsum("ij,ij->i", self.x[at], q)
+        compared += 1
+        on = np.arange(len(q))
+        while len(on):
+            around = self.links[level, at[on]]
+            there = around >= 0
+            compared[on] += there.sum(axis=1)
+            s = np.where(there, np.einsum("ijk,ik->ij", self.x[around], q[on]), -np.inf)
+            place = s.argmax(axis=1)
+            top = s[np.arange(len(on)), place]
+            up = top > best[on]
+            on, place, top, around = on[up], place[up], top[up], around[up]
+            at[on], best[on] = around[np.arange(len(on)), place], top
+
+    def beams(self, q: np.ndarray, at: np.ndarray, ef: int, compared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, scores) of the ``ef`` best that a beam of each query from its node reaches at level 0, in no order; missing ones score -inf.
+
+        The beams go on in step: each expands the best nodes that it holds and hasn't expanded yet, a few at once, until there are none.
+        """
+        on = np.arange(len(q))
+        kind = np.float32 if max(1, np.abs(self.x).max()) * max(1, np.abs(q).max()) < 1e30 else np.float64
+        x, q = self.x.astype(kind), q.astype(kind)
+        n, step = len(self.ords), 1 + ef // 32
+        held, score, todo = np.zeros((len(q), ef), np.int32), np.full((len(q), ef), -np.inf, kind), np.full((len(q), ef), -np.inf, kind)
+        held[:, 0], score[:, 0] = at, np.einsum("ij,ij->i", x[at], q)
+        todo[:, 0] = score[:, 0]
+        compared += 1
+        seen, last = np.zeros(len(q) * n, bool), np.empty(len(q) * n, np.int32)
+        seen[on * n + at] = True
         while True:
-            around = self.links[level, at]
-            around = around[around >= 0]
-            if not len(around):
-                return at
-            s = self.scores(q, around)
-            k = int(s.argmax())
-            if s[k] <= best:
-                return at
-            at, best = int(around[k]), float(s[k])
-
-    def beam(self, q: np.ndarray, at: int, ef: int) -> list[tuple[float, int]]:
-        """The ``ef`` best (score, ordinal) that a beam from ``at`` reaches at level 0, best first."""
-        start = float(self.scores(q, [at])[0])
-        todo, found, seen = [(-start, at)], [(start, -at)], {at}
-        while todo:
-            s, node = heapq.heappop(todo)
-            if len(found) >= ef and -s < found[0][0]:
-                break
-            new = [n for n in self.links[0, node].tolist() if n >= 0 and n not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for n, t in zip(new, self.scores(q, new).tolist(), strict=True):
-                if len(found) < ef or t > found[0][0]:
-                    heapq.heappush(todo, (-t, n))
-                    heapq.heappush(found, (t, -n))
-                    if len(found) > ef:
-                        heapq.heappop(found)
-        ranked = ((round(s, SCORE_DIGITS), int(self.ords[-n])) for s, n in found)
-        return sorted(ranked, key=lambda p: (-p[0], p[1]))
-
-    def search(self, q: np.ndarray, ef: int) -> list[tuple[float, int]]:
-        if self.entry < 0:
-            return []
-        at = self.entry
-        for level in range(int(self.levels[at]), 0, -1):
-            at = self.greedy(q, level, at)
-        return self.beam(q, at, ef)
+            best = np.argpartition(todo[on], ef - step, axis=1)[:, ef - step :]
+            going = todo[on[:, None], best] > -np.inf
+            on, best, going = on[going.any(axis=1)], best[going.any(axis=1)], going[going.any(axis=1)]
+            if not len(on):
+                return held, score
+            around = np.where(going[:, :, None], self.links[0, held[on[:, None], best]], -1).reshape(len(on), -1)
+            todo[on[:, None], best] = -np.inf
+            at = on[:, None] * n + around
+            r, c = np.nonzero((around >= 0) & ~seen[at])
+            flat = at[r, c]
+            last[flat] = np.arange(len(flat))
+            once = last[flat] == np.arange(len(flat))  # nodes that are expanded at once may share neighbours
+            r, c = r[once], c[once]
+            seen[flat] = True
+            s = np.einsum("ij,ij->i", x[around[r, c]], q[on[r]])
+            compared += np.bincount(on[r], minlength=len(q))
+            more = np.full(around.shape, -np.inf, kind)
+            more[r, c] = s
+            both = np.concatenate([score[on], more], axis=1)
+            keep = np.argpartition(both, both.shape[1] - ef, axis=1)[:, -ef:]
+            take = lambda x, y: np.take_along_axis(np.concatenate([x[on], y], axis=1), keep, axis=1)
+            held[on], todo[on], score[on] = take(held, around), take(todo, more), np.take_along_axis(both, keep, axis=1)
+
+    def search(self, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ordinals, scores, compared) of queries: the best ``k`` of their beams of ``ef``, best first, and how many vectors each was compared with."""
+        compared = np.zeros(len(q), np.int64)
+        ef = min(ef, len(self.ords))
+        if self.entry < 0 or ef < 1:
+            return np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0)), compared
+        at = np.full(len(q), self.entry)
+        for level in range(int(self.levels[self.entry]), 0, -1):
+            self.greedy(q, level, at, compared)
+        nodes, s = self.beams(q, at, ef, compared)
+        s = np.where(s > -np.inf, np.round(np.stack([self.x[v] @ one for v, one in zip(nodes, q, strict=True)]), SCORE_DIGITS), -np.inf)
+        ords = self.ords[nodes]
+        best = np.lexsort((ords, -s), axis=1)[:, :k]
+        return np.take_along_axis(ords, best, axis=1), np.take_along_axis(s, best, axis=1), compared
 
 
 def link(x: np.ndarray, m: int, block: int | None = None) -> np.ndarray:
@@ -243,6 +266,10 @@ def _centroids(rows: DataFrame, n: int, cells: int) -> np.ndarray:
     return centres
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _cell_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x @ centres.T - 0.5 * (centres * centres).sum(axis=1)).argmax(axis=1)
 
@@ -271,7 +298,7 @@ def build_index(rows: DataFrame, dim: int, m: int = 32, levels: int = 5, shard_r
 
     def deal(batches):
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), float).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column(2))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_cell_of(x, centres).astype(np.int32))], names=["ord", "level", "v", "cell"])
 
     plain = rows.select(F.col("ord").cast("long").alias("ord"), level_of(F.col("id"), m, levels).alias("level"), F.col("vector").cast("array<double>").alias("v"))
@@ -299,10 +326,11 @@ def build_index(rows: DataFrame, dim: int, m: int = 32, levels: int = 5, shard_r
     return replace(index, bridges=_bridges(index, dealt, dim)) if sum(slices) > 1 else index
 
 
-def ann_topk(queries: DataFrame, index: LayeredIndex, k: int, ef: int = 50, probes: int | None = None, query_block: int = 1024) -> DataFrame:
+def ann_topk(queries: DataFrame, index: LayeredIndex, k: int, ef: int = 50, probes: int | None = None, query_block: int = 8192) -> DataFrame:
     """(qid, ord, score, rank, scored): the best ``k`` that beams of max(k, ef) find in the shards of the nearest cells.
 
     ``probes`` cells are asked (a quarter by default). ``scored`` counts the vectors compared with the query, over all its shards.
+    A task has a shard and at most about ``query_block`` queries, and searches ``BEAMS`` of them at once.
     """
     centres, levels = index.centroids, index.levels
     cells = len(centres)
@@ -310,7 +338,7 @@ def ann_topk(queries: DataFrame, index: LayeredIndex, k: int, ef: int = 50, prob
 
     def route(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column(1))
             near = np.argsort(-(x @ centres.T - 0.5 * (centres * centres).sum(axis=1)), axis=1, kind="stable")[:, :probes]
             row = np.repeat(np.arange(len(x)), near.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(near.ravel().astype(np.int32))], names=["qid", "v", "cell"])
@@ -323,20 +351,39 @@ def ann_topk(queries: DataFrame, index: LayeredIndex, k: int, ef: int = 50, prob
     asked = asked.select(F.col("shard").alias("to_shard"), F.col("block").alias("to_block"), "qid", "v")
 
     def answer(shard: pa.Table, asks: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
         if shard.num_rows and asks.num_rows:
             g = _Graph({c: shard.column(c)[0].as_py() for c in _NAMES}, levels)
-            for qid, v in zip(asks.column("qid").to_pylist(), asks.column("v").to_pylist(), strict=True):
-                g.scored = 0
-                best = g.search(np.array(v, float), max(k, ef))[: max(0, k)]
-                out += [(qid, o, s, g.scored) for s, o in best]
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["qid", "ord", "score", "in_shard"])
+            qids, q = asks.column("qid").to_numpy(), _matrix(asks.column("v").combine_chunks())
+            for a in range(0, len(q), BEAMS):
+                ords, s, compared = g.search(q[a : a + BEAMS], k, max(k, ef))
+                first = np.zeros(s.shape, np.int64)
+                first[:, :1] = compared[:, None]  # once for each query, so that they can be summed
+                there = s > -np.inf
+                out = [np.concatenate([x, y]) for x, y in zip(out, (np.repeat(qids[a : a + BEAMS], there.sum(axis=1)), ords[there], s[there], first[there]), strict=True)]
+        return pa.table(out, names=["qid", "ord", "score", "in_shard"])
 
     met = graphs.groupBy("shard", "block").cogroup(asked.groupBy("to_shard", "to_block")).applyInArrow(answer, "qid long, ord long, score double, in_shard long")
     window = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("ord").asc())
-    return met.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= max(0, k)).withColumnRenamed("in_shard", "scored")
+    met = met.withColumn("rank", F.row_number().over(window)).withColumn("scored", F.sum("in_shard").over(Window.partitionBy("qid")))
+    return met.where(F.col("rank") <= max(0, k)).drop("in_shard")
+
+
+def tuned(index: LayeredIndex, rows: DataFrame, k: int, dim: int, target: float = TARGET) -> dict[str, int]:
+    """``ef`` and ``probes`` with which about ``ASKED`` sampled rows (ord, vector) find ``target`` of their true ``k`` nearest.
+
+    The recall is measured against brute force, from a beam of 50 in a quarter of the cells on, wider by half and in twice the
+    cells each time. A beam as wide as a shard ends it: no wider one finds more.
+    """
+    n, cells = rows.count(), len(index.centroids)
+    sampled = F.pmod(F.xxhash64("ord", F.lit(1)), F.lit(max(1, n // ASKED))) == 0
+    asking = settled(rows.where(sampled).select(F.col("ord").alias("qid"), "vector"))
+    truth = settled(batch_topk(asking, rows, k, dim).select("qid", "ord"))
+    most = index.shards.agg(F.max("n")).first()[0] or 0
+    ef, probes = max(k, 50), max(1, -(-cells // 4))
+    while (recall(ann_topk(asking, index, k, ef, probes), truth).first()[0] or 0) < target and (ef < most or probes < cells):
+        ef, probes = ef + ef // 2, min(cells, 2 * probes)
+    return {"ef": ef, "probes": probes}
 
 
 def hits(found: DataFrame, truth: DataFrame) -> DataFrame:
