@@ -34,6 +34,10 @@ LINK_BYTES = 1 << 24
 MOST_CELLS, SAMPLE = 1024, 20_000
 #: Queries that a shard searches at once; sampled queries that a search is tuned on, and the recall asked of them.
 BEAMS, ASKED, TARGET = 128, 512, 0.92
+#: Of the recall, what a beam wider by half must gain for wider ones to be tried.
+LEAST_GAIN = 0.002
+#: Nodes of an upper level that a query may be compared with for its start, at most.
+STARTS = 256
 
 
 @dataclass(frozen=True)
@@ -203,7 +207,7 @@ class _Graph:
             s = np.einsum("ij,ij->i", x[around[r, c]], q[on[r]])
             compared += np.bincount(on[r], minlength=len(q))
             more = np.full(around.shape, -np.inf, kind)
-            more[r, c] = s
+            more[r, c] = np.where(s > score[on].min(axis=1)[r], s, -np.inf)  # what only ties displaces none
             both = np.concatenate([score[on], more], axis=1)
             keep = np.argpartition(both, both.shape[1] - ef, axis=1)[:, -ef:]
             take = lambda x, y: np.take_along_axis(np.concatenate([x[on], y], axis=1), keep, axis=1)
@@ -215,8 +219,14 @@ class _Graph:
         ef = min(ef, len(self.ords))
         if self.entry < 0 or ef < 1:
             return np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0)), compared
-        at = np.full(len(q), self.entry)
-        for level in range(int(self.levels[self.entry]), 0, -1):
+        at, top = np.full(len(q), self.entry), int(self.levels[self.entry])
+        counts = [int((~self.dead & (self.levels >= level)).sum()) for level in range(1, top + 1)]
+        fits = [level for level, n in enumerate(counts, 1) if n <= STARTS]
+        if fits:  # a single start may lie among near copies, whose links all stay among them
+            top, nodes = fits[0], np.flatnonzero(~self.dead & (self.levels >= fits[0]))
+            at = nodes[(q @ self.x[nodes].T).argmax(axis=1)]
+            compared += len(nodes)
+        for level in range(top, 0, -1):
             self.greedy(q, level, at, compared)
         nodes, s = self.beams(q, at, ef, compared)
         s = np.where(s > -np.inf, np.round(np.stack([self.x[v] @ one for v, one in zip(nodes, q, strict=True)]), SCORE_DIGITS), -np.inf)
@@ -226,7 +236,15 @@ class _Graph:
 
 
 def link(x: np.ndarray, m: int, block: int | None = None) -> np.ndarray:
-    """Places of at most ``m`` neighbours of each row, best first: its ``m`` nearest and those it is nearest to, evicting the worst."""
+    """Places of at most ``m`` neighbours of each row, best first: its ``m`` nearest and those it is nearest to, evicting the worst.
+
+    Of equal rows only the first is linked so. They form a chain, in which each has the next one and the one before, and then
+    the first one's neighbours; else more than ``m`` of them would be linked among themselves alone.
+    """
+    if m > 2 and len(x) > 1:
+        _, first, group = np.unique(np.ascontiguousarray(x + 0.0).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        if len(first) < len(x):
+            return _chained(link(x[first], m, block), first, group, m)
     n, near = len(x), min(m, len(x) - 1)
     out = np.full((n, m), -1, np.int32)
     if near < 1:
@@ -251,6 +269,18 @@ def link(x: np.ndarray, m: int, block: int | None = None) -> np.ndarray:
     return out
 
 
+def _chained(found: np.ndarray, first: np.ndarray, group: np.ndarray, m: int) -> np.ndarray:
+    """The links of all rows, from those of the ``first`` of each group of equal ones."""
+    out = np.where(found >= 0, first[found], -1).astype(np.int32)[group]
+    order = np.argsort(group, kind="stable").astype(np.int32)
+    same = group[order][1:] == group[order][:-1]
+    chain = np.full((len(group), 2), -1, np.int32)
+    chain[order[:-1][same], 0] = order[1:][same]
+    chain[order[1:][same], 1] = order[:-1][same]
+    out = np.concatenate([chain, out], axis=1)
+    return np.take_along_axis(out, np.argsort(out < 0, axis=1, kind="stable"), axis=1)[:, :m]
+
+
 def _centroids(rows: DataFrame, n: int, cells: int) -> np.ndarray:
     """Means of the cells' vectors over a sample of at most about ``SAMPLE`` rows, after a few rounds of reassignment."""
     step = max(1, n // SAMPLE)
@@ -373,17 +403,21 @@ def tuned(index: LayeredIndex, rows: DataFrame, k: int, dim: int, target: float
     """``ef`` and ``probes`` with which about ``ASKED`` sampled rows (ord, vector) find ``target`` of their true ``k`` nearest.
 
     The recall is measured against brute force, from a beam of 50 in a quarter of the cells on, wider by half and in twice the
-    cells each time. A beam as wide as a shard ends it: no wider one finds more.
+    cells each time. A beam as wide as a shard ends it, or one in all cells that finds hardly more than the one before: what
+    isn't reached then, no wider one reaches.
     """
     n, cells = rows.count(), len(index.centroids)
     sampled = F.pmod(F.xxhash64("ord", F.lit(1)), F.lit(max(1, n // ASKED))) == 0
     asking = settled(rows.where(sampled).select(F.col("ord").alias("qid"), "vector"))
     truth = settled(batch_topk(asking, rows, k, dim).select("qid", "ord"))
     most = index.shards.agg(F.max("n")).first()[0] or 0
-    ef, probes = max(k, 50), max(1, -(-cells // 4))
-    while (recall(ann_topk(asking, index, k, ef, probes), truth).first()[0] or 0) < target and (ef < most or probes < cells):
+    ef, probes, before, whole = max(k, 50), max(1, -(-cells // 4)), -1.0, False
+    while True:
+        share = recall(ann_topk(asking, index, k, ef, probes), truth).first()[0] or 0.0
+        if share >= target or (probes == cells and (ef >= most or (whole and share - before < LEAST_GAIN))):
+            return {"ef": ef, "probes": probes}
+        before, whole = share, probes == cells
         ef, probes = ef + ef // 2, min(cells, 2 * probes)
-    return {"ef": ef, "probes": probes}
 
 
 def hits(found: DataFrame, truth: DataFrame) -> DataFrame:
